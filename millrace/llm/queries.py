@@ -24,6 +24,13 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' word-BPE ids and of the texts decoded from them."""
+    from millrace.llm import bpe
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     from millrace.llm import packing
@@ -33,6 +40,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
+    "op4_backtracking_bpe": op4_backtracking_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
