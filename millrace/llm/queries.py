@@ -38,10 +38,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every query vector by inner product."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm import ann
+
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_backtracking_bpe": op4_backtracking_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_kmeans_tree_search": op9_kmeans_tree_search,
 }
 
 #: Queries that DuckDB can run on the same tables.
