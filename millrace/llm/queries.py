@@ -31,6 +31,13 @@ def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels that aren't held out."""
+    from millrace.llm import quality
+
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     from millrace.llm import packing
@@ -47,11 +54,20 @@ def op9_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    from millrace.llm import fingerprints
+
+    return fingerprints.edits(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_backtracking_bpe": op4_backtracking_bpe,
+    "op5_attention_quality": op5_attention_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_kmeans_tree_search": op9_kmeans_tree_search,
+    "op10_multiset_fingerprints": op10_multiset_fingerprints,
 }
 
 #: Queries that DuckDB can run on the same tables.
