@@ -38,6 +38,13 @@ def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of all documents."""
+    from millrace.llm import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     from millrace.llm import packing
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_backtracking_bpe": op4_backtracking_bpe,
     "op5_attention_quality": op5_attention_quality,
+    "op7_licence_rules": op7_licence_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_kmeans_tree_search": op9_kmeans_tree_search,
     "op10_multiset_fingerprints": op10_multiset_fingerprints,
