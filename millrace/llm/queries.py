@@ -38,6 +38,13 @@ def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from millrace.llm import html_text
+
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of all documents."""
     from millrace.llm import licenses
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_backtracking_bpe": op4_backtracking_bpe,
     "op5_attention_quality": op5_attention_quality,
+    "op6_page_text": op6_page_text,
     "op7_licence_rules": op7_licence_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_kmeans_tree_search": op9_kmeans_tree_search,
