@@ -17,6 +17,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets are 85 % alike."""
+    from millrace.llm import ngram_join
+
+    return ngram_join.join(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to containers and read back."""
     from millrace.llm import token_store
@@ -76,6 +83,7 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_token_store": op3_token_store,
     "op4_backtracking_bpe": op4_backtracking_bpe,
     "op5_attention_quality": op5_attention_quality,
