@@ -358,6 +358,7 @@ def linked(
     keyed = keyed.withColumn("component", F.coalesce("component", "class"))
     least = keyed.groupBy("component").agg(F.min("key").alias("least"))
     names = scratch.table(keyed.join(least, "component").select("class", "least"), "names")
+    scratch.drop(shared, active, sets, inner, merged, named, at, pairs)
     out = members.join(names, "class", "left")
     component = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("least"))
     return out.select("key", "class", F.col("n").alias("n_shingles"), component.alias("component"))
@@ -367,3 +368,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
     """doc_id, n_shingles and component_id of every document."""
     found = linked(docs, id_col=id_col, text_col=text_col, **how)
     return found.select(F.col("key").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """`docs` with one document of each component, the one with the smallest key.
+
+    Rows of one key stay or go together; rows with null keys stay.
+    """
+    found = linked(docs, id_col=id_col, text_col=text_col, **how)
+    gone = found.where("key is not null").groupBy("key").agg(F.max(F.col("component") == F.col("key")).alias("stays"))
+    gone = scratch.table(gone.where("not stays").select("key"), "near-copies")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("key"), "left_anti")

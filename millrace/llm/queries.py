@@ -24,6 +24,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op2_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the aligned common blocks of later ones."""
+    from millrace.llm import line_dedup
+
+    return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_deleted")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to containers and read back."""
     from millrace.llm import token_store
@@ -84,6 +91,7 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_patience_line_dedup": op2_patience_line_dedup,
     "op3_token_store": op3_token_store,
     "op4_backtracking_bpe": op4_backtracking_bpe,
     "op5_attention_quality": op5_attention_quality,
