@@ -13,8 +13,8 @@ and visits are widened until the walk would have met `target` of them.
 Equal vectors are folded into one before anything else: of a vector's rows only
 the `k + 1` with the smallest keys can be among `k` nearest, so a vector that
 holds a third of all rows costs no more than another.  Leaves are cut into row
-blocks and query blocks of bounded size, which meet in a join on the leaf; a
-task holds one pair of blocks and gives `k` rows a query.
+blocks and query blocks of bounded size; a task holds one pair of blocks at a
+time and gives `k` rows a query.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do those whose dimension is not the commonest
@@ -134,7 +134,7 @@ def _best(scores: np.ndarray, keys: list[list[int]], own: list[int], k: int) ->
 def search(
     vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding",
     k: int = 20, target: float = 0.97, sample_rows: int = 16_384, calibration_rows: int = 256,
-    branches: int = 8, leaf_rows: int = 48, block_rows: int = 2_048,
+    branches: int = 8, leaf_rows: int = 48, block_rows: int = 1_024,
 ) -> DataFrame:
     """Each query's k nearest rows; `queries` is a condition on the key `id_col`."""
     spark = vectors.sparkSession
@@ -150,8 +150,8 @@ def search(
     distinct = scratch.table(folded(base.select("key", "v"), k), "distinct-vectors")
 
     # the tree: a bounded sample, the same whatever the partitions
-    sample = distinct.orderBy(F.xxhash64("v"), F.col("keys")[0]).select("v").limit(sample_rows).collect()
-    tree = Tree(np.array([r.v for r in sample], float), branches, leaf_rows)
+    sample = distinct.orderBy(F.xxhash64("v"), F.col("keys")[0]).select("v").limit(sample_rows).toArrow()
+    tree = Tree(_matrix(sample.column(0).combine_chunks()), branches, leaf_rows)
     shared = spark.sparkContext.broadcast(tree)  # bounded by the sample
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +165,6 @@ def search(
     asked = base.where("asks").select("key", "v").distinct()
     visits = _calibrate(placed, asked, tree, k, target, calibration_rows)
 
-    # row blocks and query blocks of bounded size meet on the leaf
-    blocks = spark.createDataFrame([(leaf, -(-n // block_rows)) for leaf, n in sizes_of.items()], "leaf long, blocks long")
-    rows = (
-        placed.join(F.broadcast(blocks), "leaf")  # as many rows as the tree has leaves
-        .withColumn("block", F.pmod(F.xxhash64(F.col("keys")[0]), "blocks"))
-        .groupBy("leaf", "block")
-        .agg(F.collect_list(F.struct("v", "keys")).alias("rows"))
-    )
-
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -185,30 +176,34 @@ def search(
 
     visited = asked.mapInArrow(visit, "key long, v array<double>, leaf long")
     visited = scratch.table(visited, "visits")
-    # how many query blocks a leaf needs
-    many = visited.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("blocks"))
-    asks = (
-        visited.join(F.broadcast(many), "leaf")
-        .groupBy("leaf", F.pmod(F.xxhash64("key"), "blocks").alias("part"))
-        .agg(F.collect_list(F.struct("key", "v")).alias("queries"))
-        .select("leaf", "queries")
+    asks_of = {r.leaf: r.n for r in visited.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+
+    # row blocks and query blocks of bounded size meet: each row goes to all query blocks of its leaf, and back
+    cuts = [(leaf, -(-n // block_rows), -(-asks_of[leaf] // block_rows)) for leaf, n in sizes_of.items() if leaf in asks_of]
+    split = F.broadcast(spark.createDataFrame(cuts, "leaf long, blocks int, parts int"))  # a row a leaf
+    rows = placed.join(split, "leaf").select(
+        "leaf", F.pmod(F.xxhash64(F.col("keys")[0]), "blocks").cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", "keys",
     )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row_list, ask_list in zip(batch.column(0), batch.column(1)):
-                rows_of, asks_of = row_list.values, ask_list.values
-                points, keys = _matrix(rows_of.field("v")), rows_of.field("keys").to_pylist()
-                own = asks_of.field("key").to_pylist()
-                scores = _matrix(asks_of.field("v")) @ points.T
-                found = [(q, key, s) for q, row in zip(own, scores) for key, s in _best(row, keys, (q,), k)]
-                q, key, s = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(key, pa.int64()), pa.array(s, pa.float64())],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    met = rows.join(asks, "leaf").select("rows", "queries").mapInArrow(meet, "query_id long, vec_id long, score double")
+    asks = visited.join(split, "leaf").select(
+        "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), "key", "v",
+    )
+    pair = ["leaf", "block", "part"]
+
+    def meet(of_rows: pa.Table, of_asks: pa.Table) -> pa.Table:
+        found = []
+        if len(of_rows) and len(of_asks):
+            of_rows, of_asks = of_rows.combine_chunks(), of_asks.combine_chunks()
+            points = _matrix(of_rows["v"].chunk(0))
+            keys, own = of_rows["keys"].to_pylist(), of_asks["key"].to_pylist()
+            scores = _matrix(of_asks["v"].chunk(0)) @ points.T
+            found = [(q, key, s) for q, row in zip(own, scores) for key, s in _best(row, keys, (q,), k)]
+        columns = zip(*found) if found else [()] * 3
+        types = [pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["query_id", "vec_id", "score"])
+
+    met = rows.groupBy(*pair).cogroup(asks.groupBy(*pair)).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # a key with several vectors counts by its best one
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
