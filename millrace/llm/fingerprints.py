@@ -7,7 +7,7 @@ and paragraphs go in or out by adding or subtracting their vectors
 (`insert`, `delete`) without the rest of the text.
 
 The vector has a dense part, 8 lanes of 32 bits that every paragraph changes:
-it decides equality.  The other part is sparse, lanes of 16 bits of which each
+it decides equality.  The other part is sparse, lanes of 14 bits of which each
 clause of a paragraph changes one: 64 lanes for all clauses, 32 for one in 8 of
 them, 32 for one in 64, chosen by hash.  Two fingerprints are alike as far
 as their lanes in use agree (`likeness`), on the finest of the three levels
@@ -34,7 +34,14 @@ LEVELS = ((64, 1), (32, 8), (32, 64))
 #: A level is full when more than this share of its lanes is in use.
 FULL = 0.75
 
-_WORD, _LANE = 0xFFFFFFFF, 0xFFFF
+_WORD, _LANE = 0xFFFFFFFF, 0x3FFF
+#: Sparse lanes lie four to a number, 16 bits apart, so that a sum never carries into the next.
+_LANES_EACH = 4
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def paragraphs(text: Column) -> Column:
@@ -42,72 +49,91 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: p != "")
 
 
-def clauses(text: Column) -> Column:
-    """The clauses of the lines of a text: they end at a mark before spaces; a line without any has words."""
+def clauses(lines: Column) -> Column:
+    """The clauses of lines: they end at a mark before spaces; a line without any has words."""
 
     def parts(line: Column) -> Column:
         cut = F.split(line, r"(?<=[^\p{L}\p{N}\s]) +")
-        return F.when(F.size(cut) > 1, cut).otherwise(F.split(line, " "))
+        return _let(cut, lambda c: F.when(F.size(c) > 1, c).otherwise(F.split(line, " ")))
 
-    return F.filter(F.flatten(F.transform(paragraphs(text), parts)), lambda s: s != "")
+    return F.filter(F.flatten(F.transform(lines, parts)), lambda s: s != "")
 
 
-def _spot(lanes: int, bit: int) -> Callable[[Column], Column]:
-    """Of a clause's hash: the lane, from the bits at `bit`, and the value that goes in."""
-    return lambda h: F.struct(
-        F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(lanes - 1)).cast("int").alias("lane"),
-        F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(_LANE)).alias("value"),
+def _dense(lines: Column) -> Column:
+    # two lanes come from each of four differently seeded hashes
+    def hashed(line: Column) -> Column:
+        four = [F.xxhash64(line, F.lit(f"dense {k}")) for k in range(DENSE // 2)]
+        return F.array(*[h.bitwiseAND(F.lit(_WORD)) for h in four], *[F.shiftrightunsigned(h, 32) for h in four])
+
+    zero = F.array_repeat(F.lit(0).cast("long"), DENSE)
+    return F.aggregate(
+        F.transform(lines, hashed), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: (a + b).bitwiseAND(F.lit(_WORD)))
     )
 
 
+def _spot(lanes: int, bit: int) -> Callable[[Column], Column]:
+    """Of a clause's hash: its number among the lanes', and what to add under which mask."""
+
+    def spot(h: Column) -> Column:
+        lane = F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(lanes - 1))
+        value = F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(_LANE))
+        own = lane.bitwiseAND(F.lit(_LANES_EACH - 1))
+        places = [F.lit(1 << 16 * k).cast("long") for k in range(_LANES_EACH)]
+        unit = F.element_at(F.array(*places), (own + 1).cast("int"))
+        return F.struct(
+            F.shiftright(lane, 2).cast("int").alias("number"), (value * unit).alias("add"), (F.lit(_LANE) * unit).alias("mask")
+        )
+
+    return spot
+
+
+def _sparse(drawn: Column, level: int) -> Column:
+    n, share = LEVELS[level]
+    chosen = drawn if share == 1 else F.filter(drawn, lambda h: h.bitwiseAND(F.lit(share - 1)) == 0)
+    zero = F.array_repeat(F.lit(0).cast("long"), n // _LANES_EACH)
+
+    def put(acc: Column, x: Column) -> Column:
+        def lane(v: Column, i: Column) -> Column:
+            inside = (v.bitwiseAND(x["mask"]) + x["add"]).bitwiseAND(x["mask"])
+            return F.when(i == x["number"], v.bitwiseAND(F.bitwise_not(x["mask"])).bitwiseOR(inside)).otherwise(v)
+
+        return F.transform(acc, lane)
+
+    return F.aggregate(F.transform(chosen, _spot(n, 8 + 6 * level)), zero, put)
+
+
 def lanes(text: Column) -> Column:
-    """The fingerprint as an array of numbers: dense lanes, then the sparse levels."""
-    # two dense lanes come from each of four differently seeded hashes
-    hashed = F.transform(
-        paragraphs(text),
-        lambda p: F.flatten(F.array(*[
-            F.array(h.bitwiseAND(F.lit(_WORD)), F.shiftrightunsigned(h, 32))
-            for h in [F.xxhash64(p, F.lit(f"dense {k}")) for k in range(DENSE // 2)]
-        ])),
-    )
-    zero = F.array_repeat(F.lit(0).cast("long"), DENSE)
-    dense = F.aggregate(
-        hashed, zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: (a + b).bitwiseAND(F.lit(_WORD)))
-    )
-    # a clause: its value, its lane, and whether it is drawn for a level
-    drawn = F.transform(clauses(text), lambda s: F.xxhash64(s, F.lit("sparse")))
-    parts = [dense]
-    for k, (n, share) in enumerate(LEVELS):
-        chosen = drawn if share == 1 else F.filter(drawn, lambda h: h.bitwiseAND(F.lit(share - 1)) == 0)
-        spots = F.transform(chosen, _spot(n, 8 + 6 * k))
-        parts.append(F.aggregate(
-            spots, F.array_repeat(F.lit(0).cast("long"), n),
-            lambda acc, x: F.transform(
-                acc, lambda v, i: F.when(i == x["lane"], (v + x["value"]).bitwiseAND(F.lit(_LANE))).otherwise(v)
-            ),
-        ))
-    return F.concat(*parts)
+    """The fingerprint as an array of numbers: dense lanes, then the sparse levels, four lanes a number."""
+
+    def of_lines(lines: Column) -> Column:
+        drawn = F.transform(clauses(lines), lambda s: F.xxhash64(s, F.lit("sparse")))
+        return _let(drawn, lambda d: F.concat(_dense(lines), *[_sparse(d, k) for k in range(len(LEVELS))]))
+
+    return _let(paragraphs(text), of_lines)
 
 
 def text_form(numbers: Column) -> Column:
-    """Lanes as hexadecimal digits: 8 for a dense lane, 4 for a sparse one."""
-    digits = F.transform(numbers, lambda v, i: F.when(i < DENSE, F.lpad(F.hex(v), 8, "0")).otherwise(F.lpad(F.hex(v), 4, "0")))
+    """Lanes as hexadecimal digits: 8 for a dense lane, 16 for four sparse ones."""
+    digits = F.transform(numbers, lambda v, i: F.lpad(F.hex(v), F.when(i < DENSE, 8).otherwise(16), F.lit("0")))
     return F.lower(F.array_join(digits, ""))
 
 
 def number_form(text: Column) -> Column:
     """The inverse of `text_form`."""
-    n = DENSE + sum(k for k, _ in LEVELS)
+    n = DENSE + sum(k for k, _ in LEVELS) // _LANES_EACH
 
     def lane(i: Column) -> Column:
-        at = F.when(i < DENSE, i * 8 + 1).otherwise(DENSE * 8 + (i - DENSE) * 4 + 1)
-        return F.conv(F.substring(text, at, F.when(i < DENSE, 8).otherwise(4)), 16, 10).cast("long")
+        at = F.when(i < DENSE, i * 8 + 1).otherwise(DENSE * 8 + (i - DENSE) * 16 + 1)
+        return F.conv(F.substring(text, at, F.when(i < DENSE, 8).otherwise(16)), 16, 10).cast("long")
 
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lane)
 
 
+_ALL_LANES = sum(_LANE << 16 * k for k in range(_LANES_EACH))
+
+
 def _modulo(i: Column) -> Column:
-    return F.when(i < DENSE, F.lit(_WORD)).otherwise(F.lit(_LANE)).cast("long")
+    return F.when(i < DENSE, F.lit(_WORD)).otherwise(F.lit(_ALL_LANES)).cast("long")
 
 
 def insert(fingerprint: Column, text: Column) -> Column:
@@ -118,23 +144,36 @@ def insert(fingerprint: Column, text: Column) -> Column:
 
 def delete(fingerprint: Column, text: Column) -> Column:
     """Lanes of a document after the paragraphs of `text` have gone out."""
-    taken = F.zip_with(fingerprint, lanes(text), lambda a, b: a - b)
+    # a bit above each lane is lent before the difference, so that lanes don't borrow from each other
+    lent = F.transform(fingerprint, lambda v, i: v + _modulo(i) + F.when(i < DENSE, 1).otherwise(F.lit(sum(1 << 16 * k for k in range(_LANES_EACH)))).cast("long"))
+    taken = F.zip_with(lent, lanes(text), lambda a, b: a - b)
     return F.transform(taken, lambda v, i: v.bitwiseAND(_modulo(i)))
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """How alike two fingerprints in text form are, 0 to 1; 1 for equal ones."""
-    estimate, at = None, DENSE * 8 + 1
+    """How alike two fingerprints (arrays of numbers) are, 0 to 1; 1 for equal ones."""
+    estimate, at = None, DENSE + 1
     levels = []
+
+    def counted(acc: Column, p: Column) -> Column:
+        used, same = acc["used"], acc["same"]
+        for k in range(_LANES_EACH):
+            mask = F.lit(_LANE << 16 * k)
+            a, b = p["a"].bitwiseAND(mask), p["b"].bitwiseAND(mask)
+            some = (a != 0) | (b != 0)
+            used = used + some.cast("int")
+            same = same + (some & (a == b)).cast("int")
+        return F.struct(used.alias("used"), same.alias("same"))
+
+    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("same"))
     for n, _ in LEVELS:
-        spots = F.sequence(F.lit(at), F.lit(at + 4 * (n - 1)), F.lit(4))
-        pairs = F.transform(spots, lambda i: F.struct(F.substring(one, i, F.lit(4)).alias("a"), F.substring(other, i, F.lit(4)).alias("b")))
-        used = F.filter(pairs, lambda p: (p["a"] != "0000") | (p["b"] != "0000"))
-        levels.append((n, F.struct(F.size(used).alias("used"), F.size(F.filter(used, lambda p: p["a"] == p["b"])).alias("same"))))
-        at += 4 * n
+        size = n // _LANES_EACH
+        pairs = F.zip_with(F.slice(one, at, size), F.slice(other, at, size), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        levels.append((n, F.aggregate(pairs, zero, counted)))
+        at += size
     # from the coarsest level to the finest that isn't full
     for n, level in reversed(levels):
-        share = F.when(level["used"] > 0, level["same"] / level["used"]).otherwise(F.lit(0.0))
+        share = _let(level, lambda x: F.when(x["used"] > 0, x["same"] / x["used"]).otherwise(F.lit(0.0)))
         estimate = share if estimate is None else F.when(level["used"] <= FULL * n, share).otherwise(estimate)
     return F.when(one == other, F.lit(1.0)).otherwise(estimate)
 
@@ -176,20 +215,19 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    named = base.withColumn("fingerprint", text_form(lanes(F.col("text"))))
-    chained = with_next(named, "doc_id", ["text"], ["text", "fingerprint"])
+    named = base.withColumn("own", lanes(F.col("text")))
+    chained = with_next(named, "doc_id", ["text"], ["text", "own"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     cut = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    edited = chained.select(
-        "doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", cut.alias("edited")
-    )
+    edited = chained.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", cut.alias("edited"))
     done = edited.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
-        text_form(lanes(F.col("edited"))).alias("edited_fingerprint"), "next_fingerprint",
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own",
+        lanes(F.col("edited")).alias("after"),
     )
     return done.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", text_form(F.col("own")).alias("fingerprint"),
+        text_form(F.col("after")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("after")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
