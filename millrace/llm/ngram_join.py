@@ -53,6 +53,8 @@ HEAVY = 1 << 16
 #: A shingle counts as heavy in a run of texts from so many documents on.
 HEAVY_IN_RUN = 4
 RUN_CHARS = 8_000_000
+#: Bits of the map of wanted keys: 2 MB, whatever the table.
+WANTED_BITS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ class Rule:
 
     words: int = 4
     percent: int = 85
-    slack_share: float = 0.03
+    slack_share: float = 0.08
 
     def least(self, n):
         """Shingles that a set of n must share with any set it links with."""
@@ -165,24 +167,44 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return rare.union(prefixes.where("known").select("shingle", "class")).distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """The sets of wanted classes (key, class): (class, n, set)."""
+def _wanted(active: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of wanted keys: `WANTED_BITS` bits, whatever the number of keys.
+
+    As it fills, more keys pass that nobody wants; their sets are left unread.
+    """
+    at = F.pmod(F.xxhash64("key", F.lit("wanted")), F.lit(WANTED_BITS))
+    words = active.select((at / 32).cast("long").alias("word"), F.pow(F.lit(2.0), at % 32).cast("long").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(WANTED_BITS // 32, np.uint32)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return bits
+
+
+def _sets(docs: DataFrame, active: DataFrame, rule: Rule) -> DataFrame:
+    """(class, n, set) of at least the documents that stand for active classes.
+
+    The scan is filtered by the bitmap, so no text is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted(active))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            texts, classes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = batch.column(2).to_numpy()
+            pick = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
+            texts = batch.column(1).take(pa.array(pick)).to_pylist()
             for of in in_runs(texts, RUN_CHARS):
-                found = [(c, s) for c, s in zip(classes[of], shingle_sets(texts[of], rule.words)) if _signature(s) == c]
-                begin = _begins([len(s) for _, s in found])
-                flat = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.uint64)
+                sets = [s for s in shingle_sets(texts[of], rule.words) if len(s)]
+                begin = _begins([len(s) for s in sets])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([c for c, _ in found], pa.int64()), pa.array(np.diff(begin)),
+                    pa.array([_signature(s) for s in sets], pa.int64()), pa.array(np.diff(begin)),
                     pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(_signed(flat))),
                 ], ["class", "n", "set"])
 
-    rows = docs.join(wanted, "key").select("text", "class")
-    sets = rows.mapInArrow(run, "class long, n long, set array<long>")
-    return sets.dropDuplicates(["class"])
+    at = F.pmod(F.xxhash64("key", F.lit("wanted")), F.lit(WANTED_BITS))
+    rows = docs.where("key is not null").select("key", "text", at.alias("at"))
+    return rows.mapInArrow(run, "class long, n long, set array<long>")
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -288,7 +310,7 @@ def _in_blocks(classes: DataFrame, by: list[str], seed: int, block: int) -> Data
 
 def linked(
     docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
-    block: int = 48, rounds: int = 3, slack_share: float = 0.03,
+    block: int = 48, rounds: int = 3, slack_share: float = 0.08,
 ) -> DataFrame:
     """(key, class, n_shingles, component): component is the smallest key reachable by links."""
     spark, rule = docs.sparkSession, Rule(words, percent, slack_share)
@@ -310,7 +332,7 @@ def linked(
         *[F.min_by("shingle", F.xxhash64("shingle", F.lit(r))).alias(f"group{r}") for r in range(rounds)],
     )
     active = scratch.table(counts.join(classes, "class").where(F.col("shared") >= needed), "active")
-    sets = scratch.table(_sets(base, active.select("key", "class"), rule), "sets")
+    sets = scratch.table(_sets(base, active, rule), "sets")
 
     # step 3: rounds of blocks by smallest shared shingle
     tagged = active.select(
@@ -377,5 +399,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     found = linked(docs, id_col=id_col, text_col=text_col, **how)
     gone = found.where("key is not null").groupBy("key").agg(F.max(F.col("component") == F.col("key")).alias("stays"))
-    gone = scratch.table(gone.where("not stays").select("key"), "near-copies")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("key"), "left_anti")
+    name = scratch.unused(docs, "key")
+    gone = scratch.table(gone.where("not stays").select(F.col("key").alias(name)), "near-copies")
+    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(name), "left_anti")
