@@ -23,8 +23,8 @@ word counts; blank lines match nothing and don't part a block.
 Defined results: null text stays null; empty texts, and rows with null keys,
 stay as they are; documents are ordered by key, then by the text's hash; rows
 of one key and text are one document and have the same result; a document of
-which nothing remains has an empty text; other columns go along unchanged; an
-empty table gives no rows.
+which nothing remains has an empty text; other columns go along unchanged (one
+named as the count is replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -173,16 +173,18 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, rare: int = 16, count_col: str = "n_deleted") -> DataFrame:
     """`docs` without the common blocks of later documents, and the number of lines each lost."""
-    names = docs.columns
+    names = [n for n in docs.columns if n != count_col]
+    key, copy, drop = (scratch.unused(docs, n) for n in ("_key", "_copy", "_drop"))
     gone = deletions(docs, id_col, text_col, min_words, rare)
-    gone = gone.select(F.col("key").alias("_key"), F.col("copy").alias("_copy"), F.col("drop").alias("_drop"))
-    at = (F.col(id_col).cast("long") == F.col("_key")) & (F.when(F.col(text_col) != "", _digest(F.col(text_col))) == F.col("_copy"))
+    gone = gone.select(F.col("key").alias(key), F.col("copy").alias(copy), F.col("drop").alias(drop))
+    at = (F.col(id_col).cast("long") == F.col(key)) & (F.when(F.col(text_col) != "", _digest(F.col(text_col))) == F.col(copy))
     lines = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    kept = F.transform(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), x["at"])), lambda x: x["line"])
+    kept = F.transform(F.filter(lines, lambda x: ~F.array_contains(F.col(drop), x["at"])), lambda x: x["line"])
     # what is left of a text of which only blank lines remain is empty
     left = F.array_join(kept, "\n")
     left = F.when(F.trim(F.replace(left, F.lit("\n"), F.lit(" ")), F.lit(_BLANKS)) == "", "").otherwise(left)
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left)
-    out = docs.join(gone, at, "left")
-    count = F.coalesce(F.size(F.when(F.col("_drop").isNotNull(), F.col("_drop"))), F.lit(0)).cast("int")
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(left)
+    # always by a shuffle: the table of deletions grows with the documents
+    out = docs.join(gone.hint("merge"), at, "left")
+    count = F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("int")
     return out.select(*[text.alias(n) if n == text_col else F.col(n) for n in names], count.alias(count_col))
