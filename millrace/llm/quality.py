@@ -230,8 +230,9 @@ def learn(
 
 
 def score(docs: DataFrame, model: GatedAttention, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with a score: each row's other columns go along."""
+    """`docs` with a score: each row's other columns go along, one of the score's name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    docs = docs.drop(score_col)
     names = docs.columns
     at = names.index(text_col)
 
