@@ -51,7 +51,7 @@ def pieces(
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for run_of in in_runs(texts, 8_000_000):
+            for run_of in in_runs(texts, 4_000_000):
                 ids, begin = encode.batch(texts[run_of])
                 raw, rows = memoryview(ids.tobytes()), []
                 for key, a, b in zip(keys[run_of], begin[:-1].tolist(), begin[1:].tolist()):

@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from millrace.llm.tokens import _begins, in_runs
 
 PASSAGE_WORDS = 64
+#: Characters encoded at once: some hundred bytes of memory each.
+RUN_CHARS = 400_000
 SHAPES = 48
 WIDTH = 10 + SHAPES
 
@@ -213,7 +215,7 @@ def learn(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_texts = batch.column(1).to_pylist()
-            for of in in_runs(all_texts, 2_000_000):
+            for of in in_runs(all_texts, RUN_CHARS):
                 x, begin = passages(all_texts[of])
                 rows = []
                 for a, b in zip(begin[:-1], begin[1:]):
@@ -239,7 +241,7 @@ def score(docs: DataFrame, model: GatedAttention, text_col: str = "text", score_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found = batch.column(at).to_pylist(), []
-            for of in in_runs(texts, 2_000_000):
+            for of in in_runs(texts, RUN_CHARS):
                 found.append(shared.value.score(*passages(texts[of])))
             values = pa.array(np.concatenate(found) if found else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*names, score_col])

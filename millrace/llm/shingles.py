@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from millrace.llm.tokens import _begins
+from millrace.llm.tokens import _begins, in_runs
+
+#: Characters hashed at once: about a hundred bytes of memory each.
+RUN_CHARS = 1_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -48,6 +51,10 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Each text's distinct k-word shingles, sorted; shorter texts have their whole sequence as one."""
+    return [s for of in in_runs(texts, RUN_CHARS) for s in _sets_of_run(texts[of], k)]
+
+
+def _sets_of_run(texts: list[str | None], k: int) -> list[np.ndarray]:
     hashes, begin = words(texts)
     n = max(0, len(hashes) - k + 1)
     mixed = np.zeros(n, np.uint64)

@@ -136,7 +136,7 @@ def write(
 
         for batch in batches:
             all_keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for run_of in in_runs(texts, 8_000_000):
+            for run_of in in_runs(texts, 4_000_000):
                 ids, begin = encode.batch(texts[run_of])
                 kept.append(np.insert(ids, begin[1:], end_id).astype("<u4", copy=False))
                 lengths.append(np.diff(begin) + 1)
