@@ -302,8 +302,12 @@ def _pair_links(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _in_blocks(classes: DataFrame, by: list[str], seed: int, block: int) -> DataFrame:
-    """Adds `block`: a group's classes, dealt by hash into blocks of about that size."""
-    sizes = classes.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1")
+    """Adds `block`: a group's classes, dealt by hash into blocks of about that size.
+
+    Sizes are written first: joined as they come, their partitioning would be
+    kept, and a large group's rows could not be split between tasks.
+    """
+    sizes = scratch.table(classes.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1"), "group-sizes")
     parts = F.ceil(F.col("_n") / F.lit(block)).cast("long")
     return classes.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("class", F.lit(seed)), parts)).drop("_n")
 
@@ -346,7 +350,7 @@ def linked(
     of = active.join(merged.withColumnRenamed("node", "class"), "class", "left")
     of = of.select("class", "n", "group0", F.coalesce("component", "class").alias("component"), F.col("component").isNotNull().alias("large"))
     of = of.withColumn("group", F.when(F.col("large"), F.col("component")).otherwise(F.col("group0")))
-    size = of.groupBy("large", "group").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts"))
+    size = scratch.table(of.groupBy("large", "group").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts")), "group-sizes")
     named = of.join(size, ["large", "group"]).withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), "parts"))
     named = scratch.table(named.withColumn("id", F.xxhash64("large", "group", "part")).select("class", "n", "component", "id"), "blocks")
     facts = named.groupBy("id").agg(
