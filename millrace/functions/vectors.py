@@ -176,7 +176,7 @@ def java_hash(text: Column) -> Column:
     """Java's String.hashCode: 31 h + c over UTF-16 units, wrapped to 32 bits."""
     units = F.encode(text, "UTF-16BE")
     digits = F.hex(units)
-    places = F.sequence(F.lit(0), F.length(units) / 2 - 1)
+    places = F.sequence(F.lit(0), F.greatest((F.length(units) / 2 - 1).cast("int"), F.lit(0)))
     codes = F.transform(places, lambda i: F.conv(F.substring(digits, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("long"))
     wrapped = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
     empty = F.length(units) == 0

@@ -104,15 +104,15 @@ def stein_means(df: DataFrame, task: str, y: str, prior: float | None = None) ->
     m = task_means(df, task, y)
     centre = F.lit(prior) if prior is not None else F.sum(F.col("mean") * F.col("n")) / F.sum("n")
     facts = m.agg(
-        F.count("*").alias("tasks"), F.sum("error").alias("se"), F.max("error").alias("me"), centre.alias("centre") if prior is None else F.first(centre).alias("centre")
+        F.count("*").alias("_tasks"), F.sum("error").alias("_se"), F.max("error").alias("_me"), centre.alias("_centre") if prior is None else F.first(centre).alias("_centre")
     )
     with_facts = m.crossJoin(F.broadcast(facts))  # one row
-    spread = with_facts.agg(F.sum(F.when(F.col("error") > 0, F.pow(F.col("mean") - F.col("centre"), F.lit(2.0)) / F.col("error"))).alias("spread"))
+    spread = with_facts.agg(F.sum(F.when(F.col("error") > 0, F.pow(F.col("mean") - F.col("_centre"), F.lit(2.0)) / F.col("error"))).alias("_spread"))
     full = with_facts.crossJoin(F.broadcast(spread))  # one row
-    keep = F.when((F.col("tasks") < 4) | (F.col("spread") <= 0) | F.col("spread").isNull(), 1.0).otherwise(
-        F.greatest(1 - (F.col("se") / F.col("me") - 3) / F.col("spread"), F.lit(0.0))
+    keep = F.when((F.col("_tasks") < 4) | (F.col("_spread") <= 0) | F.col("_spread").isNull(), 1.0).otherwise(
+        F.greatest(1 - (F.col("_se") / F.col("_me") - 3) / F.col("_spread"), F.lit(0.0))
     )
-    return full.select(task, "n", "mean", (F.col("centre") + keep * (F.col("mean") - F.col("centre"))).alias("shrunk"))
+    return full.select(task, "n", "mean", (F.col("_centre") + keep * (F.col("mean") - F.col("_centre"))).alias("shrunk"))
 
 
 def multi_task_means(df: DataFrame, task: str, y: str, kind: str = "const") -> DataFrame:
@@ -122,16 +122,16 @@ def multi_task_means(df: DataFrame, task: str, y: str, kind: str = "const") -> D
     """
     m = task_means(df, task, y)
     moments = m.agg(
-        F.count("*").alias("t"), F.sum("mean").alias("sm"), F.sum(F.col("mean") * F.col("mean")).alias("sq"),
-        F.max("mean").alias("hi"), F.min("mean").alias("lo"), F.avg("error").alias("err"),
+        F.count("*").alias("_t"), F.sum("mean").alias("_sm"), F.sum(F.col("mean") * F.col("mean")).alias("_sq"),
+        F.max("mean").alias("_hi"), F.min("mean").alias("_lo"), F.avg("error").alias("_err"),
     )
-    apart = (2 * F.col("t") * F.col("sq") - 2 * F.col("sm") * F.col("sm")) / (F.col("t") * (F.col("t") - 1))
-    gap = F.when(F.col("t") > 1, apart) if kind == "const" else F.pow(F.col("hi") - F.col("lo"), F.lit(2.0))
+    apart = (2 * F.col("_t") * F.col("_sq") - 2 * F.col("_sm") * F.col("_sm")) / (F.col("_t") * (F.col("_t") - 1))
+    gap = F.when(F.col("_t") > 1, apart) if kind == "const" else F.pow(F.col("_hi") - F.col("_lo"), F.lit(2.0))
     tie = F.when(gap > 0, F.when(F.lit(kind == "const"), 2.0).otherwise(1.0) / gap).otherwise(0.0)
-    facts = moments.select("t", "sm", "err", tie.alias("tie"))
+    facts = moments.select("_t", "_sm", "_err", tie.alias("_tie"))
     full = m.crossJoin(F.broadcast(facts))  # one row
-    share = F.col("err") * F.col("tie") / 1.0
-    return full.select(task, "n", "mean", ((F.col("mean") + share * F.col("sm") / F.col("t")) / (1 + share)).alias("shrunk"))
+    share = F.col("_err") * F.col("_tie") / 1.0
+    return full.select(task, "n", "mean", ((F.col("mean") + share * F.col("_sm") / F.col("_t")) / (1 + share)).alias("shrunk"))
 
 
 def binomial_mixture(counts: list[tuple[int, int, int]], k: int, rounds: int = 50, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def digamma(x: np.ndarray) -> np.ndarray:
 
 
 def beta_binomial_mixture(
-    counts: list[tuple[int, int, int]], k: int, rounds: int = 60, seed: int = 1, pull: float = 0.0,
+    counts: list[tuple[int, int, int]], k: int, rounds: int = 200, seed: int = 1, pull: float = 0.0,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, alpha and beta of k beta-binomial components by generalised EM.
 
@@ -178,16 +178,20 @@ def beta_binomial_mixture(
     """
     m, n, c = (np.array(x, float) for x in zip(*counts))
     rng = np.random.default_rng(seed)
-    q, a, b = np.full(k, 1 / k), rng.uniform(0.5, 3, k), rng.uniform(0.5, 3, k)
+    order = np.argsort(m / n)
+    share = np.cumsum(c[order]) / c.sum()
+    start = np.clip((m / n)[order][np.searchsorted(share, (np.arange(k) + 0.5) / k)], 0.05, 0.95)
+    q, a, b = np.full(k, 1 / k), 4 * start * rng.uniform(0.9, 1.1, k), 4 * (1 - start)
     ln = np.vectorize(math.lgamma)
     for _ in range(rounds):
         logs = np.log(q) + ln(m[:, None] + a) + ln((n - m)[:, None] + b) - ln(n[:, None] + a + b) - ln(a) - ln(b) + ln(a + b)
         part = np.exp(logs - logs.max(axis=1, keepdims=True))
         part *= (c / part.sum(axis=1))[:, None]
         down = (part * (digamma(n[:, None] + a + b) - digamma(a + b))).sum(axis=0) + 1e-12
-        a_up = a * (part * (digamma(m[:, None] + a) - digamma(a))).sum(axis=0) / down
-        b_up = b * (part * (digamma((n - m)[:, None] + b) - digamma(b))).sum(axis=0) / down
-        a, b = (np.maximum(0.001, (x + pull) / (1 + pull)) for x in (a_up, b_up))
+        up_a = (part * (digamma(m[:, None] + a) - digamma(a))).sum(axis=0)
+        up_b = (part * (digamma((n - m)[:, None] + b) - digamma(b))).sum(axis=0)
+        a = np.maximum(0.001, a * (up_a + pull / a) / (down + pull))
+        b = np.maximum(0.001, b * (up_b + pull / b) / (down + pull))
         q = np.maximum(part.sum(axis=0) / c.sum(), 1e-12)
         q /= q.sum()
     return q, a, b

@@ -92,7 +92,8 @@ def spheres(rows: np.ndarray, radius: float, shrink: float = 0.9, least: float =
     out, left, number = np.full(len(rows), -1), list(range(len(rows))), 0
     while left:
         centre, r = unit[left[0]], radius
-        while True:
+        held = [left[0]]
+        for _ in range(100):
             held = [i for i in left if 1 - unit[i] @ centre <= r]
             if not held:
                 held = [left[0]]

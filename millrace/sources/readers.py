@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
 
 from millrace.functions.vectors import categorical
 
@@ -164,7 +164,7 @@ def event_log(spark: SparkSession, path: str, kind: str = "plain", most: int | N
     return rows.withColumn("delta", F.col("ts") - F.lag("ts").over(along))
 
 
-SESSION_SCHEMA = T.StructType.fromDDL(
+SESSION_SCHEMA = (
     "uid string, timestamp long, reqid string, user_region int, query string, sntypes array<string>, rel array<string>, "
     "clicks array<int>, clicks_dwelltime array<int>"
 )
@@ -172,7 +172,7 @@ SESSION_SCHEMA = T.StructType.fromDDL(
 
 def click_log(spark: SparkSession, path: str) -> DataFrame:
     """Search sessions, a JSON object a line: (uid, reqid, query, position, type, grade, clicked)."""
-    s = spark.read.text(path).select(F.from_json("value", SESSION_SCHEMA).alias("s")).where("s is not null").select("s.*")
+    s = spark.read.text(path).select(F.from_json("value", SESSION_SCHEMA).alias("s")).select("s.*").dropna("all")
     rows = s.select("uid", "reqid", "query", "clicks", F.posexplode(F.arrays_zip("sntypes", "rel")).alias("position", "r"))
     return rows.select("uid", "reqid", "query", "position", F.col("r.sntypes").alias("type"), F.col("r.rel").alias("grade"), F.array_contains("clicks", F.col("position")).alias("clicked"))
 

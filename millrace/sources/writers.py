@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def _number(v: Column) -> Column:
     """Up to eight decimals, no trailing zeros."""
-    fixed = F.format_number(v, "###0.########")
+    fixed = F.call_function("format_number", v, F.lit("###0.########"))
     return F.regexp_replace(F.when(v.isNull() | F.isnan(v), "NaN").otherwise(fixed), r"^-0$", "0")
 
 

@@ -40,13 +40,14 @@ def update(intensity: float, gap: float, gain: float, decay: float, timed: bool)
 
 
 def online_intensity(
-    events: DataFrame, user: str, item: str, hours: str, affinity: Callable[[object, object], float], base: float = 0.1,
-    decay: float = 0.1, timed: bool = False, look_ahead: bool = True, ttl_hours: float = CHURN_HOURS,
+    events: DataFrame, user: str, item: str, ts: str, hours: str, affinity: Callable[[object, object], float], base: float = 0.1,
+    decay: float = 0.1, timed: bool = False, look_ahead: bool = True, ttl_hours: float = CHURN_HOURS, late: str = "1 hour",
 ) -> DataFrame:
     """(user, item, hours, intensity, expected_gap) of each event, from the user's decayed state.
 
     With `look_ahead` the intensity is that after the event, else before.  The
-    state is (time, sum) a user and goes after `ttl_hours` of processing time.
+    state is (time, sum) a user and goes once the watermark is `ttl_hours` past
+    the user's last event.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,7 +55,10 @@ def online_intensity(
             state.remove()
             return
         last, total = state.get if state.exists else (None, 0.0)
+        newest = state.getCurrentWatermarkMs()
         for pdf in batches:
+            seen = pdf[ts].dropna()
+            newest = max(newest, int(seen.max().timestamp() * 1000)) if len(seen) else newest
             out = []
             for i, t in sorted(zip(pdf[item], pdf[hours]), key=lambda x: x[1]):
                 before = total
@@ -65,12 +69,13 @@ def online_intensity(
             if out:
                 yield pd.DataFrame(out, columns=[user, item, hours, "intensity", "expected_gap"])
         state.update((last, total))
-        state.setTimeoutDuration(int(ttl_hours * 3_600_000))
+        state.setTimeoutTimestamp(newest + int(ttl_hours * 3_600_000))
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     schema = f"{user} {kinds[user]}, {item} {kinds[item]}, {hours} double, intensity double, expected_gap double"
-    return events.select(user, item, F.col(hours).cast("double").alias(hours)).groupBy(user).applyInPandasWithState(
-        step, schema, "last double, total double", "append", GroupStateTimeout.ProcessingTimeTimeout
+    rows = events.withWatermark(ts, late).select(user, item, ts, F.col(hours).cast("double").alias(hours))
+    return rows.groupBy(user).applyInPandasWithState(
+        step, schema, "last double, total double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -116,4 +121,4 @@ def listen(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkp
 def json_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A stream of JSON objects, a line each, from files that come into a folder."""
     text = spark.readStream.text(folder)
-    return text.select(F.from_json("value", schema).alias("v")).where("v is not null").select("v.*")
+    return text.select(F.from_json("value", schema).alias("v")).select("v.*").dropna("all")
