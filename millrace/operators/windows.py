@@ -127,9 +127,9 @@ def as_of_next(left: DataFrame, right: DataFrame, by: list[str], ts: str, value:
     both = left.withColumn("_value", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(1)).unionByName(
         right.select(*by, F.col(ts), F.col(value).alias("_value"), F.lit(0).alias("_left")), allowMissingColumns=True
     )
-    # an exact hit comes after the left row and before later ones
-    ahead = Window.partitionBy(*by).orderBy(F.asc(ts), F.desc("_left")).rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn(out, F.first("_value", ignorenulls=True).over(ahead)).where("_left = 1").select(*names, out)
+    # backwards in time, so that the frame grows row by row; an exact hit comes before the left row
+    passed = Window.partitionBy(*by).orderBy(F.desc(ts), F.asc("_left")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(out, F.last("_value", ignorenulls=True).over(passed)).where("_left = 1").select(*names, out)
 
 
 def top(df: DataFrame, key: str, n: int) -> DataFrame:
