@@ -39,6 +39,9 @@ from pyspark.sql.window import Window
 
 from millrace.llm import scratch
 
+#: Pairs of documents that are aligned in one batch.
+BATCH_ROWS = 128
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BLANKS = " \t\r\x0b\x0c"
 
 
@@ -132,6 +135,8 @@ def _pairs(originals: DataFrame, min_words: int, rare: int) -> tuple[DataFrame,
     held = scratch.table(held, "held-lines")
     # a count for each line, added up before the shuffle: a line on every document is one row a task
     shared = held.groupBy("line", "words").agg(F.count("*").alias("docs"), F.min("doc").alias("earliest")).where("docs > 1")
+    # written first: joined as it comes, its partitioning would be kept, and a frequent line's rows stay in one task
+    shared = scratch.table(shared, "shared-lines")
     found = held.join(shared, ["line", "words"])
     least = F.min("docs").over(Window.partitionBy("doc"))
     found = found.withColumn("least", least)
@@ -166,7 +171,14 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     cut = aligned.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop"))
     words = F.aggregate("lines", F.lit(0), lambda n, x: n + x["words"])
     copies = ranked.where("key <> first").where(words >= min_words).select("key", "copy", F.transform("lines", lambda x: x["at"]).alias("drop"))
-    out = scratch.table(cut.select("doc.key", "doc.copy", "drop").union(copies), "deletions")
+    # an earliest document stands in the rows of all that it is paired with: few rows at a time go to Python
+    spark = docs.sparkSession
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        out = scratch.table(cut.select("doc.key", "doc.copy", "drop").union(copies), "deletions")
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     scratch.drop(profile, originals, held)
     return out
 
