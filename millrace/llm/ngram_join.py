@@ -181,30 +181,46 @@ def _wanted(active: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, active: DataFrame, rule: Rule) -> DataFrame:
-    """(class, n, set) of at least the documents that stand for active classes.
+    """(class, row, n, set) of at least the documents that stand for active classes.
 
-    The scan is filtered by the bitmap, so no text is shuffled.
+    The scan is filtered by the bitmap, so no text is shuffled.  A task gives a
+    class once, several tasks may give the same one: `_once` picks its row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_wanted(active))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+        seen: set[int] = set()
         for batch in batches:
             at = batch.column(2).to_numpy()
             pick = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
-            texts = batch.column(1).take(pa.array(pick)).to_pylist()
+            texts, rows = (batch.column(c).take(pa.array(pick)).to_pylist() for c in (1, 3))
             for of in in_runs(texts, RUN_CHARS):
-                sets = [s for s in shingle_sets(texts[of], rule.words) if len(s)]
+                sets, classes, places = [], [], []
+                for s, row in zip(shingle_sets(texts[of], rule.words), rows[of]):
+                    if not len(s) or (c := _signature(s)) in seen:
+                        continue
+                    seen.add(c)
+                    sets.append(s)
+                    classes.append(c)
+                    places.append(row)
+                if len(seen) > 2_000_000:
+                    seen.clear()
                 begin = _begins([len(s) for s in sets])
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([_signature(s) for s in sets], pa.int64()), pa.array(np.diff(begin)),
+                    pa.array(classes, pa.int64()), pa.array(places, pa.int64()), pa.array(np.diff(begin)),
                     pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(_signed(flat))),
-                ], ["class", "n", "set"])
+                ], ["class", "row", "n", "set"])
 
     at = F.pmod(F.xxhash64("key", F.lit("wanted")), F.lit(WANTED_BITS))
-    rows = docs.where("key is not null").select("key", "text", at.alias("at"))
-    return rows.mapInArrow(run, "class long, n long, set array<long>")
+    rows = docs.where("key is not null").select("key", "text", at.alias("at"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, "class long, row long, n long, set array<long>")
+
+
+def _once(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """`active` with the one row of `sets` that stands for the class; no set is shuffled for it."""
+    return active.join(sets.groupBy("class").agg(F.min("row").alias("row")), "class")
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -335,24 +351,25 @@ def linked(
         F.count("*").alias("shared"),
         *[F.min_by("shingle", F.xxhash64("shingle", F.lit(r))).alias(f"group{r}") for r in range(rounds)],
     )
-    active = scratch.table(counts.join(classes, "class").where(F.col("shared") >= needed), "active")
-    sets = scratch.table(_sets(base, active, rule), "sets")
+    wanted = scratch.table(counts.join(classes, "class").where(F.col("shared") >= needed), "wanted")
+    sets = scratch.table(_sets(base, wanted, rule), "sets")
+    active = scratch.table(_once(wanted, sets), "active")
 
     # step 3: rounds of blocks by smallest shared shingle
     tagged = active.select(
-        "class", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"group{r}").alias("group")) for r in range(rounds)])).alias("g")
-    ).select("class", "g.r", "g.group")
+        "class", "row", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"group{r}").alias("group")) for r in range(rounds)])).alias("g")
+    ).select("class", "row", "g.r", "g.group")
     dealt = _in_blocks(tagged, ["r", "group"], 1, block)
-    inner = scratch.table(_block_links(dealt.join(sets, "class"), rule), "inner-links")
+    inner = scratch.table(_block_links(dealt.join(sets, ["class", "row"]).drop("row"), rule), "inner-links")
     merged = scratch.table(components(inner), "merged")
 
     # step 4: what may link across components
     of = active.join(merged.withColumnRenamed("node", "class"), "class", "left")
-    of = of.select("class", "n", "group0", F.coalesce("component", "class").alias("component"), F.col("component").isNotNull().alias("large"))
+    of = of.select("class", "row", "n", "group0", F.coalesce("component", "class").alias("component"), F.col("component").isNotNull().alias("large"))
     of = of.withColumn("group", F.when(F.col("large"), F.col("component")).otherwise(F.col("group0")))
     size = scratch.table(of.groupBy("large", "group").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts")), "group-sizes")
     named = of.join(size, ["large", "group"]).withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), "parts"))
-    named = scratch.table(named.withColumn("id", F.xxhash64("large", "group", "part")).select("class", "n", "component", "id"), "blocks")
+    named = scratch.table(named.withColumn("id", F.xxhash64("large", "group", "part")).select("class", "row", "n", "component", "id"), "blocks")
     facts = named.groupBy("id").agg(
         F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")
     )
@@ -373,7 +390,7 @@ def linked(
     sides = pairs.select("one", "other", F.col("one").alias("id"), F.lit(False).alias("second")).union(
         pairs.where("one <> other").select("one", "other", F.col("other"), F.lit(True))
     )
-    rows = sides.join(named.select("id", "class"), "id").drop("id").join(sets, "class")
+    rows = sides.join(named.select("id", "class", "row"), "id").drop("id").join(sets, ["class", "row"]).drop("row")
     across = _pair_links(rows, rule)
     # components of step 3 are nodes now: their stars and the new links
     stars = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -384,7 +401,7 @@ def linked(
     keyed = keyed.withColumn("component", F.coalesce("component", "class"))
     least = keyed.groupBy("component").agg(F.min("key").alias("least"))
     names = scratch.table(keyed.join(least, "component").select("class", "least"), "names")
-    scratch.drop(shared, active, sets, inner, merged, named, at, pairs)
+    scratch.drop(shared, wanted, active, sets, inner, merged, named, at, pairs)
     out = members.join(names, "class", "left")
     component = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("least"))
     return out.select("key", "class", F.col("n").alias("n_shingles"), component.alias("component"))

@@ -71,6 +71,30 @@ def test_join_of_one_large_group_of_near_copies(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("copies", ["one row", "ids"])
+def test_join_reads_a_class_once(spark, monkeypatch, copies):
+    near = [f"copy {i} " + " ".join(f"w{j}" for j in range(80)) for i in range(4)]
+    # pairs that share many shingles, a few too few to link: they meet across components
+    far = [(7000 + i, " ".join(f"v{i}x{j}" for j in range(60 if i < 4 else 30)) + " " + " ".join(f"t{j}" for j in range(40))) for i in range(8)]
+    rows = [(5, near[0])] * 3000 if copies == "one row" else [(5 + i, near[0]) for i in range(200)]
+    rows += [(6000 + i, t) for i, t in enumerate(near[1:])] + far
+    most = []
+
+    def counted(compare, by):
+        def run(blocks, rule):
+            most.append(blocks.groupBy(*by, "class").count().agg({"count": "max"}).first()[0])
+            return compare(blocks, rule)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "WANTED_BITS", 32)
+    monkeypatch.setattr(ngram_join, "_block_links", counted(ngram_join._block_links, ["r", "group", "block"]))
+    monkeypatch.setattr(ngram_join, "_pair_links", counted(ngram_join._pair_links, ["one", "other"]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert most[0] == 1 and most[1] in (None, 1)
+    assert got == brute_components(sorted(set(rows)), 4, 85)
+
+
 def test_join_takes_awkward_rows(spark):
     docs = awkward(spark, ["n_shingles", "component_id", "class", "key"])
     got = sorted(map(tuple, ngram_join.join(docs).collect()), key=repr)
