@@ -3,9 +3,11 @@
 Documents overlap when they share a rare line: one that few different texts
 hold, or one long enough to be deleted by itself, or the rarest line that a
 document shares at all (so that members of a large group of near copies, in
-which no line is rare, find each other).  Each such line pairs a document with
-the *earliest* document that holds it, never with all of them, so pairs grow
-with lines and not with the square of a group.
+which no line is rare, find each other); or a run of lines that just reaches
+`min_words` words, however frequent its lines are, so every block that may go
+has a partner.  Each such line or run pairs a document with the *earliest*
+document that holds it, never with all of them, so pairs grow with lines and
+not with the square of a group.
 
 Each pair is aligned by patience diff: common lines at both ends match; then
 lines that occur once in each and are in both anchor the alignment along their
@@ -32,6 +34,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,7 @@ from millrace.llm import scratch
 #: Pairs of documents that are aligned in one batch.
 BATCH_ROWS = 128
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ODD = 0x9E3779B97F4A7C15
 _BLANKS = " \t\r\x0b\x0c"
 
 
@@ -128,17 +132,57 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _run_hashes(begin: np.ndarray, line: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(document, hash, words), each once, of runs of two or more lines that just reach `min_words` words.
+
+    `begin` has the places where documents begin, and the end.  Sums of lines
+    times powers of an odd number name the runs; single lines name themselves.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    first = np.arange(len(line))
+    doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    end = np.searchsorted(total, total[:-1] + min_words)
+    keep = (end <= begin[1:][doc]) & (end - first >= 2)
+    first, end, doc = first[keep], end[keep], doc[keep]
+    powers, back = (np.cumprod(np.full(len(line) + 1, x, np.uint64)) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line.view(np.uint64) * powers[:-1], dtype=np.uint64)])
+    name = (sums[end] - sums[first]) * back[first]
+    order = np.lexsort((name, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(doc[order]) != 0) | (name[order][1:] != name[order][:-1])
+    order = order[new]
+    return doc[order], name[order].view(np.int64), (total[end] - total[first])[order]
+
+
+def _runs(originals: DataFrame, min_words: int) -> DataFrame:
+    """(doc, line, words) of the runs of `_run_hashes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            begin = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.slice(begin[0], begin[-1] - begin[0])
+            line, words = (flat.field(n).to_numpy() for n in ("line", "words"))
+            doc, name, words = _run_hashes(begin - begin[0], line, words, min_words)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(doc)), pa.array(name), pa.array(words.astype(np.int32))], ["doc", "line", "words"]
+            )
+
+    return originals.select("doc", "lines").mapInArrow(run, "doc struct<key:bigint,copy:binary>, line bigint, words int")
+
+
 def _pairs(originals: DataFrame, min_words: int, rare: int) -> tuple[DataFrame, DataFrame]:
     """Each (later, earliest) of documents that overlap, and the table that it is read from."""
     held = originals.select("doc", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["line"], x["words"])))).alias("x"))
-    held = held.select("doc", "x.line", "x.words")
+    held = held.select("doc", "x.line", "x.words", F.lit(False).alias("run"))
+    held = held.union(_runs(originals, min_words).withColumn("run", F.lit(True)))
     held = scratch.table(held, "held-lines")
     # a count for each line, added up before the shuffle: a line on every document is one row a task
-    shared = held.groupBy("line", "words").agg(F.count("*").alias("docs"), F.min("doc").alias("earliest")).where("docs > 1")
+    shared = held.groupBy("line", "words", "run").agg(F.count("*").alias("docs"), F.min("doc").alias("earliest")).where("docs > 1")
     # written first: joined as it comes, its partitioning would be kept, and a frequent line's rows stay in one task
     shared = scratch.table(shared, "shared-lines")
-    found = held.join(shared, ["line", "words"])
-    least = F.min("docs").over(Window.partitionBy("doc"))
+    found = held.join(shared, ["line", "words", "run"])
+    least = F.min(F.when(~F.col("run"), F.col("docs"))).over(Window.partitionBy("doc"))
     found = found.withColumn("least", least)
     anchors = found.where((F.col("docs") <= rare) | (F.col("words") >= min_words) | (F.col("docs") == F.col("least")))
     return anchors.where(F.col("earliest") != F.col("doc")).select("doc", "earliest").distinct(), held

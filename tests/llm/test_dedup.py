@@ -208,6 +208,45 @@ def test_a_long_passage_stays_once(spark):
     assert got[3] == "own line number 3 of this text\nand another own line 3"
 
 
+def test_a_passage_of_frequent_short_lines_stays_once(spark):
+    passage = [" ".join(f"p{i}x{j}" for j in range(8)) for i in range(3)]
+    # pairs share a rarer line too: the passage's lines are never the rarest
+    rows = [(i, "\n".join([f"own {i}", f"of the pair {i // 2}", f"more {i}", *passage, f"end {i}"])) for i in range(40)]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in got if passage[0] in got[i].text] == [0]
+    assert all(got[i].n_deleted == (3 if i else 0) for i in got)
+
+
+def test_dedup_equals_brute_force_with_runs(spark):
+    rng = random.Random(7)
+    pool = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=rng.randint(1, 9))) for _ in range(60)]
+    rows = [(i, "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    rows = list({t: (i, t) for i, t in reversed(rows) if t}.values())
+    lines = {i: [(at, x) for at, x in enumerate(t.split("\n")) if x.strip()] for i, t in sorted(rows)}
+    n = lambda x: x.count(" ") + 1
+    units = defaultdict(set)
+    for d, held in lines.items():
+        own = [x for _, x in held]
+        for i in range(len(own)):
+            ends = [j for j in range(i + 2, len(own) + 1) if sum(map(n, own[i:j])) >= 12]
+            units[d] |= {own[i]} | ({tuple(own[i : ends[0]])} if ends and n(own[i]) < 12 else set())
+    count, early = defaultdict(int), {}
+    for d in lines:
+        for u in units[d]:
+            count[u] += 1
+            early.setdefault(u, d)
+    want = {}
+    for d, held in lines.items():
+        least = min((count[u] for u in units[d] if isinstance(u, str) and count[u] > 1), default=0)
+        pair = {early[u] for u in units[d] if isinstance(u, tuple) or count[u] <= 3 or n(u) >= 12 or count[u] == least} - {d}
+        a, drop = [x for _, x in held], set()
+        for e in pair:
+            drop |= set(line_dedup.common_blocks(a, [x for _, x in lines[e]], [n(x) for x in a], 12))
+        want[d] = len(drop)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_deleted for r in line_dedup.dedup(docs, min_words=12, rare=3).collect()} == want
+
+
 def test_rule_bounds():
     rule = ngram_join.Rule(4, 85)
     assert rule.links(85, 85, 100) and not rule.links(84, 85, 99)
