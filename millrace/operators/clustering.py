@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import vectors as V
-from millrace.lineage import cut
+from millrace.operators.components import connected
 
 
 def assigned(df: DataFrame, vector: str, centres: list[list[float]], out: str = "cluster") -> DataFrame:
@@ -116,21 +116,17 @@ def strong_dimensions(df: DataFrame, key: str, vector: str, top: int, popular: f
     return long.join(counts.where(F.col("n") < popular * F.col("all")).select("dim"), "dim")
 
 
-def shared_components(links: DataFrame, key: str, dim: str, rounds: int = 20) -> DataFrame:
-    """(key, component): smallest key reachable over shared dimensions, by label propagation.
+def shared_components(links: DataFrame, key: str, dim: str) -> DataFrame:
+    """(key, component): smallest key reachable over shared dimensions, however long the way.
 
-    Rows and dimensions are the two sides of the graph, so no pairs of rows are made.
+    Each key is linked to the smallest one of its dimension, so no pairs of rows are made.
     """
-    now = links.select(key, dim).withColumn("component", F.col(key))
-    for _ in range(rounds):
-        by_dim = now.groupBy(dim).agg(F.min("component").alias("_m"))
-        by_key = now.join(by_dim, dim).groupBy(key).agg(F.min("_m").alias("_c"))
-        nxt = cut(now.join(by_key, key).select(key, dim, F.least("component", "_c").alias("component"), (F.col("_c") < F.col("component")).alias("_moved")))
-        moved = nxt.where("_moved").limit(1).count()
-        now = nxt.drop("_moved")
-        if not moved:
-            break
-    return now.groupBy(key).agg(F.min("component").alias("component"))
+    least = links.groupBy(dim).agg(F.min(key).alias("_m"))
+    edges = links.join(least, dim).select(F.col(key).alias("a"), F.col("_m").alias("b"))
+    found = connected(edges)
+    return links.select(key).distinct().join(found.select(F.col("node").alias(key), "component"), key, "left").select(
+        key, F.coalesce("component", key).alias("component")
+    )
 
 
 def class_similarity(df: DataFrame, label: str, vector: str) -> DataFrame:

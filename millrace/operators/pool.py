@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.lineage import cut
+
 #: Column types of a pool and the Spark types that hold them.
 KINDS = {
     "VEC": T.DoubleType(), "SPARSE_VEC": T.MapType(T.IntegerType(), T.DoubleType()), "INTS": T.IntegerType(),
@@ -103,11 +105,13 @@ def point(df: DataFrame, row_id: int, column: str) -> DataFrame:
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """`df` with `row_id` from 0 in an order.
 
-    Rows are sorted over ranges and counted a range at a time, so no task holds them all.
+    Rows are sorted over ranges and counted a range at a time, so no task holds them all.  The dealt rows are
+    written before they are counted: dealt twice, ranges could be cut at other rows.
     """
     keys = [F.asc_nulls_first(c) for c in order]
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    inside = dealt.withColumn("_at", F.monotonically_increasing_id() - F.col("_part").cast("long") * (1 << 33))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    inside = cut(dealt.withColumn("_at", F.monotonically_increasing_id() - F.col("_part").cast("long") * (1 << 33)))
     counts = sorted((r["_part"], r["n"]) for r in inside.groupBy("_part").agg(F.count("*").alias("n")).collect())
     before, n = [], 0
     for part, many in counts:

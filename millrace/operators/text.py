@@ -6,6 +6,9 @@ case without marks at their ends.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import vectors as V
+from millrace.lineage import cut
 
 #: Weight of a pair of words by their distance.
 WEIGHTS = {"FIXED": lambda d: F.lit(1.0), "LINEAR": lambda d: 1 / d.cast("double"), "EXP": lambda d: F.exp(-0.1 * d)}
@@ -135,29 +139,78 @@ def mean_vectors(words: DataFrame, vectors: DataFrame, key: str, width: int) ->
     return parts.select(key, F.array(*[F.col(f"v{i}") / (F.col("n") + 0.5) for i in range(width)]).alias("vector"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "id") -> DataFrame:
-    """(query, rank, key, similarity): the k rows nearest to each of few query vectors by cosine.
+def _in_slices(asked: DataFrame, vectors: DataFrame, key: str, k: int, slice_rows: int) -> DataFrame:
+    """(query, rank, key, similarity) of rows of `asked` (query, ask, own): the k nearest vectors by cosine, none of `own`.
 
-    `queries` are broadcast; give at most a few thousand.
+    Queries go in slices of about `slice_rows` by hash, whatever their number;
+    a slice is on every executor, a task keeps the k best of its rows for each
+    query, and only those are shuffled.
     """
-    both = F.broadcast(queries.select(F.col(key).alias("query"), F.col("vector").alias("_q")).limit(10_000))
-    pairs = vectors.join(both, F.col(key) != F.col("query")).select("query", key, V.cosine(F.col("_q"), F.col("vector")).alias("similarity"))
+    kind = vectors.schema[key].dataType.simpleString()
+    query_kind = asked.schema["query"].dataType.simpleString()
+    asked = cut(asked)
+    parts = max(1, -(-asked.count() // slice_rows))
+    schema = f"query {query_kind}, {key} {kind}, similarity double"
+    out = None
+    for part in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).collect()
+        if not some:
+            continue
+        asks = np.array([r.ask for r in some], float).reshape(len(some), -1)
+        long = np.linalg.norm(asks, axis=1)
+        # a slice of queries, of bounded size
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.query for r in some], asks, long, [set(r.own) for r in some]))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, asks, long, own = shared.value
+            best: list[list[tuple[float, object]]] = [[] for _ in names]
+            for pdf in batches:
+                rows = np.array(pdf["_v"].tolist(), float).reshape(len(pdf), -1)
+                size, keys = np.linalg.norm(rows, axis=1), pdf[key].tolist()
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = asks @ rows.T / (long[:, None] * size)
+                for i, each in enumerate(near):
+                    fit = np.flatnonzero(np.isfinite(each))
+                    wide = k + len(own[i])
+                    if len(fit) > wide:  # products of a matrix differ in the last places: the choice is made with some room
+                        fit = fit[each[fit] >= np.partition(each[fit], len(fit) - wide)[len(fit) - wide] - 1e-9]
+                    exact = (rows[fit] * asks[i]).sum(axis=1) / (size[fit] * long[i])
+                    found = [(-s, keys[j]) for j, s in zip(fit.tolist(), exact.tolist()) if keys[j] not in own[i]]
+                    best[i] = heapq.nsmallest(k, best[i] + found)
+            rows = [(names[i], name, -s) for i, each in enumerate(best) for s, name in each]
+            yield pd.DataFrame(rows, columns=["query", key, "similarity"])
+
+        found = vectors.select(key, F.col("vector").alias("_v")).where(F.col(key).isNotNull() & F.col("_v").isNotNull()).mapInPandas(run, schema)
+        out = found if out is None else out.union(found)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
-    return pairs.where("similarity is not null").withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", key, "similarity")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", key, "similarity")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "id", slice_rows: int = 4_096) -> DataFrame:
+    """(query, rank, key, similarity): the k rows nearest to each query vector by cosine, ties to the smaller key.
+
+    A row is no neighbour of its own key; null and zero vectors, and null keys, take no part.
+    """
+    asked = queries.where(F.col(key).isNotNull() & F.col("vector").isNotNull()).select(
+        F.col(key).alias("query"), F.col("vector").alias("ask"), F.array(key).alias("own")
+    )
+    return _in_slices(asked, vectors, key, k, slice_rows)
 
 
-def analogies(questions: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(question, rank, word): nearest to v2 - v1 + v3, none of the three; questions have (question, w1, w2, w3)."""
+def analogies(questions: DataFrame, vectors: DataFrame, k: int = 5, slice_rows: int = 4_096) -> DataFrame:
+    """(question, rank, word): nearest to v2 - v1 + v3, none of the three; questions have (question, w1, w2, w3).
+
+    Questions with a word that has no vector have no rows.
+    """
     v = vectors.select("word", "vector")
     q = questions
     for i in (1, 2, 3):
         q = q.join(v.select(F.col("word").alias(f"w{i}"), F.col("vector").alias(f"v{i}")), f"w{i}")
     minus = F.zip_with("v2", "v1", lambda a, b: a - b)
-    q = F.broadcast(q.select("question", "w1", "w2", "w3", F.zip_with(minus, F.col("v3"), lambda a, b: a + b).alias("_q")).limit(10_000))
-    pairs = v.join(q, (F.col("word") != F.col("w1")) & (F.col("word") != F.col("w2")) & (F.col("word") != F.col("w3")))
-    scored = pairs.select("question", "word", V.cosine(F.col("_q"), F.col("vector")).alias("similarity")).where("similarity is not null")
-    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("similarity"), "word"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("question", "rank", "word", "similarity")
+    asked = q.select(F.col("question").alias("query"), F.zip_with(minus, F.col("v3"), lambda a, b: a + b).alias("ask"), F.array("w1", "w2", "w3").alias("own"))
+    return _in_slices(asked, v, "word", k, slice_rows).withColumnRenamed("query", "question")
 
 
 def glove(cooc: pd.DataFrame, words: int, width: int = 16, rounds: int = 25, rate: float = 0.05, seed: int = 1, skew: int = 0, pmi_target: bool = True) -> np.ndarray:

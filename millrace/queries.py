@@ -869,11 +869,11 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
 
 
-@query(f"""WITH e AS ({_EMB}), p AS (SELECT q.vec_id AS query, e.vec_id AS id, {_COS.format(a='q.v', b='e.v')} AS s FROM e JOIN e q ON q.vec_id < 20 AND q.vec_id <> e.vec_id), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY s DESC, id)::INT AS rank FROM p) SELECT query, rank, id, ROUND(s, 6) AS similarity FROM r WHERE rank <= 5""")
+@query(f"""WITH e AS ({_EMB}), p AS (SELECT q.vec_id AS query, e.vec_id AS id, {_COS.format(a='q.v', b='e.v')} AS s FROM e JOIN e q ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY s DESC, id)::INT AS rank FROM p) SELECT query, rank, id, ROUND(s, 6) AS similarity FROM r WHERE rank <= 5""")
 def cosine_topk(spark, d):
-    """The five vectors nearest to each of twenty."""
+    """The five vectors nearest to each whose id is divisible by 50, among all."""
     v = _vectors(spark, d)
-    return X.nearest(v.where("id < 20"), v, 5).withColumn("similarity", _r(F.col("similarity")))
+    return X.nearest(v.where("id % 50 = 0"), v, 5).withColumn("similarity", _r(F.col("similarity")))
 
 
 @query(f"""WITH e AS ({_EMB}), u AS (SELECT vec_id, label, LIST_TRANSFORM(v, lambda x: x / SQRT(LIST_DOT_PRODUCT(v, v))) AS v FROM e), l AS (SELECT label, UNNEST(v) AS x, UNNEST(RANGE(LEN(v))) AS i FROM u), m AS (SELECT label, i, AVG(x) AS m FROM l GROUP BY ALL) SELECT a.label AS one, b.label AS other, ROUND(SUM(a.m * b.m), 6) AS similarity FROM m a JOIN m b ON a.i = b.i GROUP BY ALL""")
@@ -882,11 +882,12 @@ def class_similarity(spark, d):
     return C.class_similarity(_vectors(spark, d), "label", "vector").withColumn("similarity", _r(F.col("similarity")))
 
 
-@query(f"""WITH e AS ({_EMB}), q AS (SELECT k AS question, a.vec_id AS i1, b.vec_id AS i2, c.vec_id AS i3, LIST_TRANSFORM(LIST_ZIP(a.v, b.v, c.v), lambda x: x[2] - x[1] + x[3]) AS q FROM (SELECT UNNEST(RANGE(5)) AS k) JOIN e a ON a.vec_id = k JOIN e b ON b.vec_id = k + 10 JOIN e c ON c.vec_id = k + 20), p AS (SELECT question, vec_id AS word, {_COS.format(a='q', b='v')} AS s FROM e JOIN q ON vec_id NOT IN (i1, i2, i3)), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY question ORDER BY s DESC, word)::INT AS rank FROM p) SELECT question, rank, word, ROUND(s, 6) AS similarity FROM r WHERE rank <= 5""")
+@query(f"""WITH e AS ({_EMB}), q AS (SELECT k AS question, a.vec_id AS i1, b.vec_id AS i2, c.vec_id AS i3, LIST_TRANSFORM(LIST_ZIP(a.v, b.v, c.v), lambda x: x[2] - x[1] + x[3]) AS q FROM (SELECT vec_id AS k FROM e WHERE vec_id % 50 = 0) JOIN e a ON a.vec_id = k JOIN e b ON b.vec_id = k + 10 JOIN e c ON c.vec_id = k + 20), p AS (SELECT question, vec_id AS word, {_COS.format(a='q', b='v')} AS s FROM e JOIN q ON vec_id NOT IN (i1, i2, i3)), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY question ORDER BY s DESC, word)::INT AS rank FROM p) SELECT question, rank, word, ROUND(s, 6) AS similarity FROM r WHERE rank <= 5""")
 def word_analogy(spark, d):
-    """Nearest to v2 - v1 + v3."""
+    """Nearest to v2 - v1 + v3, a question for each id divisible by 50."""
     words = _vectors(spark, d).select(F.col("id").alias("word"), "vector")
-    q = spark.range(5).select(F.col("id").alias("question"), F.col("id").alias("w1"), (F.col("id") + 10).alias("w2"), (F.col("id") + 20).alias("w3"))
+    w = F.col("word")
+    q = words.where("word % 50 = 0").select(w.alias("question"), w.alias("w1"), (w + 10).alias("w2"), (w + 20).alias("w3"))
     return X.analogies(q, words).withColumn("similarity", _r(F.col("similarity")))
 
 
@@ -907,7 +908,9 @@ def kmeans_step(spark, d):
     return s.select("cluster", "n", _r(F.col("centre")[0]).alias("c0"), _r(F.col("centre")[1]).alias("c1"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({_EMB}), l AS (SELECT vec_id, UNNEST(v) AS x, UNNEST(RANGE(LEN(v))) AS i FROM e), t AS (SELECT vec_id, i FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY ABS(x) DESC, i) AS n FROM l) WHERE n <= 2),
+k AS (SELECT vec_id, i FROM t WHERE i IN (SELECT i FROM t GROUP BY i HAVING COUNT(*) < 0.05 * (SELECT COUNT(*) FROM e))), m AS (SELECT vec_id, MIN(vec_id) OVER (PARTITION BY i) AS b FROM k), g AS (SELECT vec_id AS a, b FROM m UNION SELECT b, vec_id FROM m),
+r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b) SELECT a AS id, MIN(b) AS component FROM r GROUP BY a""")
 def connected_components_k(spark, d):
     """Components of vectors over shared strong dimensions."""
     return C.shared_components(C.strong_dimensions(_vectors(spark, d), "id", "vector", 2, 0.05), "id", "dim")

@@ -209,3 +209,36 @@ def test_results_do_not_depend_on_partitions(spark):
     ):
         a, b = ([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in f(d).collect()] for d in (one, many))
         assert sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+def test_numbering_with_a_payload_and_small_shuffle_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("payload")).repartition(7)
+        rows = P.numbered(df, "k").orderBy("k").select("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert [r.row_id for r in rows] == list(range(40_000))
+
+
+def test_every_query_vector_is_searched_for(spark):
+    v = spark.range(10_001).select("id", F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    found = X.nearest(v, v, 1, slice_rows=3_000)
+    assert found.count() == 10_001 and found.where("similarity < 0.999").count() == 0
+    q = v.limit(50).select(F.col("id").alias("question"), F.col("id").alias("w1"), (F.col("id") + 1).alias("w2"), (F.col("id") + 2).alias("w3"))
+    assert X.analogies(q, v.withColumnRenamed("id", "word"), 2, slice_rows=7).count() == 100
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.range(300).select(F.col("id").alias("k"), F.explode(F.array("id", F.col("id") + 1)).alias("dim"))
+    assert {r.component for r in C.shared_components(links, "k", "dim").collect()} == {0}
+
+
+def test_wide_features_have_the_same_borders(spark):
+    from millrace.operators import grid
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(rng.normal()), float(rng.integers(0, 40)), 1.0, float("nan")]) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "row_id long, x array<double>").repartition(5)
+    assert grid.fit(df, "x", 12, local_values=20).borders == grid.fit(df, "x", 12).borders
+    assert len(grid.fit(df, "x", 12).borders[0]) == 11
