@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -163,6 +164,52 @@ def test_main_text_of_pages():
     assert html_text.main_text("just text") == "just text"
 
 
+LONG = "A sentence that is long enough to be read as running text, with a comma. "
+GOLD = [
+    # a name tells a state, not what the element is
+    (f'<nav><a href=/>Home</a></nav><article class="post has-comments"><h1>T</h1><p>{LONG}</article>', ["T", LONG]),
+    (f'<article class="comments-open"><p>{LONG}<p>Short.</article><footer>x</footer>', [LONG, "Short."]),
+    # no article, no names: ratios alone part the menu, the story and the last line
+    (f"<div><a href=/>Home</a> <a href=/a>News</a></div><div><a href=/b>Sport</a></div><div><p>{LONG * 3}<p>{LONG * 2}<p>Short one.</p></div><div>Imprint</div><div><a href=/c>Top</a></div>", [LONG * 3, LONG * 2, "Short one."]),
+    # two sibling sections with very different shares of the story
+    (f"<ul><li><a href=/>a</a><li><a href=/>b</a></ul><div><div><p>{LONG * 9}</div><div><p>{LONG}</div></div><div><a href=/>z</a></div>", [LONG * 9, LONG]),
+    # a heading beside the container of its text, not the site's name above the menu
+    (f"<h1>Site</h1><ul><li><a href=/>a</a><li><a href=/>b</a></ul><div><h2>Story</h2><div><p>{LONG}<p>{LONG}</div></div>", ["Story", LONG, LONG]),
+    # lists, quotations and links inside a story stay
+    (f'<article><p>{LONG}<ul><li>one<li><a href=/>two</a></ul><blockquote>said</blockquote><p>{LONG}<p>See <a href=/>this</a></article>', [LONG, "one", "two", "said", LONG, "See this"]),
+    # adverts, notices, forms and reader comments inside the article go, long ones too
+    (f'<article><p>{LONG}<div class="ad-slot">{LONG}</div><form>Mail</form><p>{LONG}<div id="comments"><p>{LONG * 5}</div></article><div class="cookie-notice">{LONG}</div>', [LONG, LONG]),
+    # a short article beside a longer advert
+    (f'<nav><a href=/>a</a></nav><div class="ad">{LONG}</div><article><h1>Hi.</h1><p>Yo.</article><footer>f</footer>', ["Hi.", "Yo."]),
+    # a wrapper with the name of boilerplate
+    (f'<div class="page sidebar"><p>{LONG}<p>{LONG}</div><div class="footer">x</div>', [LONG, LONG]),
+    # blocks and white space
+    ("<main><p>a\n  b<br>c<table><tr><td>1<td>2<tr><td>3</table>d &lt;&#233;&gt;</main>", ["a b c", "1 2", "3", "d <é>"]),
+    (f"<p>{LONG}<p>{LONG}", [LONG, LONG]),
+]
+
+
+@pytest.mark.parametrize(("html", "blocks"), GOLD)
+def test_gold_pages(html, blocks):
+    assert html_text.main_text(html) == "\n\n".join(b.strip() for b in blocks)
+
+
+def test_clusters_decide(monkeypatch):
+    pages = [html for html, _ in GOLD if "<a " in html or "<footer" in html]
+    monkeypatch.setattr(html_text, "clustered", lambda ratios, share=0.5: np.ones(len(ratios), bool))
+    changed = [html_text.main_text(html) for html in pages]
+    monkeypatch.undo()
+    assert sum(html_text.main_text(html) != c for html, c in zip(pages, changed)) >= 0.7 * len(pages)
+
+
+def test_deep_pages_take_linear_time():
+    n = 100_000
+    began = time.process_time()
+    assert html_text.main_text("<div>" * n + f"<p>{LONG}" + "</div>" * n) == LONG.strip()
+    assert html_text.main_text("<div>" * n + f"<p>{LONG}" + "</p></x>" * n) == LONG.strip()
+    assert time.process_time() - began < 20
+
+
 def test_smoothing_and_clusters():
     ratios = np.array([1, 1, 1, 80, 90, 85, 1, 1, 1.0])
     assert html_text.clustered(ratios)[3:6].all() and not html_text.clustered(ratios)[[0, 8]].any()
