@@ -40,12 +40,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tokens import _BYTE_CHARS, _begins, in_runs
+from millrace.llm.tokens import _BYTE_CHARS, MEMO_BYTES, MEMO_ENTRY, MEMO_PIECE, _begins, bounded, column_runs
 
 #: Stands for the end of a word, one character in place of the file's suffix.
 END = ""
-#: Parts remembered by one Python worker; beyond it, half of them.
-MEMO_PARTS = 700_000
+#: Bytes of text encoded at once.
+RUN_BYTES = 4_000_000
 
 #: The white space of the files' patterns, as character ranges.
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -193,10 +193,10 @@ class WordEncoder:
     #: Fixed value: the pattern of words of these files.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
-    def __init__(self, path: str, memo_parts: int = MEMO_PARTS):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         self.vocabulary = Vocabulary(path)
         self.memo: dict[str, bytes] = {}
-        self.memo_parts = memo_parts
+        self.memo_bytes, self.used = memo_bytes, 0
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
@@ -208,7 +208,7 @@ class WordEncoder:
         part = unicodedata.normalize("NFC", part)
         return "".join([c.lower() for c in part]) if "Σ" in part else part.lower()
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
         words, owner = [], []
         for k, part in enumerate(parts):
             part = self.normal(part)
@@ -221,8 +221,7 @@ class WordEncoder:
         flat = np.concatenate(found).astype("<u4") if found else np.zeros(0, "<u4")
         each = _begins(np.bincount(owner, [len(f) for f in found], len(parts)).astype(np.int64) if words else np.zeros(len(parts), np.int64))
         raw = flat.tobytes()
-        for part, a, b in zip(parts, (4 * each[:-1]).tolist(), (4 * each[1:]).tolist()):
-            self.memo[part] = raw[a:b]
+        return {part: raw[a:b] for part, a, b in zip(parts, (4 * each[:-1]).tolist(), (4 * each[1:]).tolist())}
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Texts without special tokens and control separators."""
@@ -230,13 +229,18 @@ class WordEncoder:
         return self._coded(cut.values.dictionary_encode(), cut.offsets.to_numpy())
 
     def _coded(self, coded: pa.DictionaryArray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known = coded.dictionary.to_pylist()
-        new = [p for p in known if p not in self.memo]
+        known, memo = coded.dictionary.to_pylist(), self.memo
+        new, own = [p for p in known if p not in memo], {}
         for i in range(0, len(new), 50_000):
-            self._learn(new[i : i + 50_000])
-        found = [self.memo[p] for p in known]
-        if len(self.memo) > self.memo_parts:  # the parts met first are the frequent ones
-            self.memo = dict(islice(self.memo.items(), self.memo_parts // 2))
+            own |= self._learn(new[i : i + 50_000])
+        found = [memo.get(p) or own.get(p) or b"" for p in known]
+        for part, ids in own.items():
+            if len(part) <= MEMO_PIECE:
+                memo[part] = ids
+                self.used += MEMO_ENTRY + 2 * len(part) + len(ids)
+        if self.used > self.memo_bytes:  # the parts met first are the frequent ones
+            self.memo = dict(islice(memo.items(), len(memo) // 2))
+            self.used = sum(MEMO_ENTRY + 2 * len(k) + len(v) for k, v in self.memo.items())
         ids, begin = np.frombuffer(b"".join(found), "<u4"), _begins([len(f) >> 2 for f in found])
         code = coded.indices.to_numpy()
         long = begin[code + 1] - begin[code]
@@ -260,7 +264,8 @@ class WordEncoder:
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts as one array, and n + 1 places where texts begin and end."""
-        odd = {i for i, t in enumerate(texts) if t and ("<|" in t or _CONTROL.search(t))}
+        special = list(self.vocabulary.special)
+        odd = {i for i, t in enumerate(texts) if t and (any(s in t for s in special) or _CONTROL.search(t))}
         ids, begin = self._plain(["" if i in odd else t or "" for i, t in enumerate(texts)])
         if not odd:
             return ids, begin
@@ -284,9 +289,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for of in in_runs(texts, 8_000_000):
-                ids, begin = coder.batch(texts[of])
+            for of, texts in column_runs(batch.column(1), RUN_BYTES):
+                ids, begin = coder.batch(texts)
                 lists = pa.ListArray.from_arrays(begin.astype(np.int32), pa.array(ids.astype(np.int32)))
                 columns = [
                     batch.column(0)[of.start : of.stop], lists,
@@ -294,6 +298,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "decoded"])
 
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return rows.mapInArrow(run, f"{id_col} long, ids array<int>, decoded string")
 
@@ -312,9 +317,8 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for of in in_runs(texts, 8_000_000):
-                ids, begin = coder.batch(texts[of])
+            for of, texts in column_runs(batch.column(1), RUN_BYTES):
+                ids, begin = coder.batch(texts)
                 columns = [
                     batch.column(0)[of.start : of.stop], pa.array(np.diff(begin)),
                     sha(_joined(coder.vocabulary.decimals, ids, begin)),
@@ -322,5 +326,6 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return rows.mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -33,26 +33,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import scratch
-from millrace.llm.tokens import encoder, in_runs
+from millrace.llm.tokens import MEMO_BYTES, bounded, column_runs, encoder
 
+#: Bytes of text encoded at once.
+RUN_BYTES = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
 
 def pieces(
     docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int = 2,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", memo_bytes: int = MEMO_BYTES,
 ) -> DataFrame:
     """Each piece of each document; `nth` numbers a part's pieces of one length."""
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
+        encode, part, seen = encoder(tokenizer, memo_bytes), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for run_of in in_runs(texts, 4_000_000):
-                ids, begin = encode.batch(texts[run_of])
+            keys = batch.column(0).to_pylist()
+            for run_of, texts in column_runs(batch.column(1), RUN_BYTES):
+                ids, begin = encode.batch(texts)
                 raw, rows = memoryview(ids.tobytes()), []
                 for key, a, b in zip(keys[run_of], begin[:-1].tolist(), begin[1:].tolist()):
                     n = b - a + 1
@@ -130,11 +133,16 @@ def plan(
 
 def pack(
     docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int = 2,
-    id_col: str = "doc_id", text_col: str = "text", **limits,
+    id_col: str = "doc_id", text_col: str = "text", memo_bytes: int = MEMO_BYTES, **limits,
 ) -> DataFrame:
-    """Pack all documents; a row a piece with its sequence and its offset there."""
+    """Pack all documents; a row a piece with its sequence and its offset there.
+
+    `max_docs` and `max_cost` bound a sequence's documents and its attention
+    cost.  By default neither can bind before the tokens do, so that sequences
+    are as few as tokens allow.
+    """
     spark = docs.sparkSession
-    cut = scratch.table(pieces(docs, tokenizer, max_tokens, end_id, id_col, text_col), "pieces")
+    cut = scratch.table(pieces(docs, tokenizer, max_tokens, end_id, id_col, text_col, memo_bytes), "pieces")
     there = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in there.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = plan(counts, max_tokens, **limits)

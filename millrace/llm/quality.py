@@ -11,9 +11,10 @@ represents the document, and a logistic output scores it:
     score = sigmoid((sum of a h) c + d)
 
 All parameters are learned together from document labels alone (Adam on the
-log loss), on the driver, from at most `sample_docs` labelled documents: those
-with the smallest key hashes, and of each at most `sample_passages` passages,
-evenly spread.  Scoring reads every passage of every document.
+log loss), on the driver, from a bounded sample of the labelled documents: at
+most `sample_docs` of them, those with the smallest key hashes, whole, until
+they have `sample_passages` passages (the document that reaches that number is
+whole too).  Scoring reads every passage of every document.
 
 Defined results: null or empty text has one passage of zeros and so the score
 that the model gives to it; a null key is scored but never learned from; of
@@ -30,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from millrace.llm.tokens import _begins, in_runs
+from millrace.llm import scratch
+from millrace.llm.tokens import _begins, bounded, column_runs, forget
 
 PASSAGE_WORDS = 64
-#: Characters encoded at once: some hundred bytes of memory each.
-RUN_CHARS = 400_000
+#: Bytes of text encoded at once: some hundred bytes of memory each.
+RUN_BYTES = 150_000
 SHAPES = 48
 WIDTH = 10 + SHAPES
 
@@ -167,9 +170,8 @@ class GatedAttention:
         if len(set(label.tolist())) < 2:
             self.prior = float(label.mean()) if len(label) else 0.5
             return self
-        x = x.astype(np.float64)
-        self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 0.05
-        x, rng, step = (x - self.mean) / self.spread, np.random.default_rng(seed), 0
+        self.mean, self.spread = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 0.05
+        rng, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         for turn in range(rounds):
@@ -178,7 +180,7 @@ class GatedAttention:
                 some = order[i : i + batch]
                 rows = np.concatenate([np.arange(begin[j], begin[j + 1]) for j in some])
                 places = _begins([begin[j + 1] - begin[j] for j in some])
-                grad = self._gradient(self._forward(x[rows], places), label[some], places[:-1])
+                grad = self._gradient(self._forward((x[rows] - self.mean) / self.spread, places), label[some], places[:-1])
                 step += 1
                 now = rate * (1 - turn / rounds)
                 for k, g in grad.items():
@@ -188,61 +190,18 @@ class GatedAttention:
                     self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def score(self, x: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """A score for each document."""
-        if self.prior is not None:
-            return np.full(len(begin) - 1, self.prior)
-        return self._forward((x - self.mean) / self.spread, begin)["y"]
-
-
-def held_out(key: Column) -> Column:
-    """Rows that nothing is learned from: crc32 of the key as text, modulo 5, is 0."""
-    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def learn(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "quality", sample_docs: int = 6_000, sample_passages: int = 64,
-) -> GatedAttention:
-    """A model from a bounded sample of the labelled documents that aren't held out."""
-    key = F.col(id_col)
-    known = labels.where(key.isNotNull() & F.col(label_col).isNotNull() & ~held_out(key))
-    some = known.groupBy(key.cast("long").alias("k")).agg(F.min(label_col).cast("double").alias("y"))
-    texts = docs.select(key.cast("long").alias("k"), F.col(text_col).alias("t"))
-    # the sample: keys with the smallest hashes among labelled keys, so at most sample_docs rows of keys
-    picked = F.broadcast(some.orderBy(F.xxhash64("k"), "k").limit(sample_docs))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_texts = batch.column(1).to_pylist()
-            for of in in_runs(all_texts, RUN_CHARS):
-                x, begin = passages(all_texts[of])
-                rows = []
-                for a, b in zip(begin[:-1], begin[1:]):
-                    pick = np.arange(a, b) if b - a <= sample_passages else np.linspace(a, b - 1, sample_passages).astype(int)
-                    rows.append(x[pick].astype("<f4").tobytes())
-                columns = [batch.column(0)[of.start : of.stop], batch.column(2)[of.start : of.stop], pa.array(rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "y", "x"])
-
-    rows = texts.join(picked, "k").select("k", "t", "y").mapInArrow(encode, "k long, y double, x binary")
-    found = rows.orderBy(F.xxhash64("k"), "k", "x").limit(sample_docs).collect()
-    bags = [np.frombuffer(r.x, "<f4").reshape(-1, WIDTH) for r in found]
-    x = np.concatenate(bags) if bags else np.zeros((0, WIDTH))
-    return GatedAttention().fit(x, _begins([len(b) for b in bags]), np.array([r.y for r in found], float))
-
-
-def score(docs: DataFrame, model: GatedAttention, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    def score(docs: DataFrame, model: GatedAttention, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with a score: each row's other columns go along, one of the score's name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    bounded(docs.sparkSession)
     docs = docs.drop(score_col)
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            texts, found = batch.column(at).to_pylist(), []
-            for of in in_runs(texts, RUN_CHARS):
-                found.append(shared.value.score(*passages(texts[of])))
+            found = [shared.value.score(*passages(texts)) for _, texts in column_runs(batch.column(at), RUN_BYTES)]
             values = pa.array(np.concatenate(found) if found else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*names, score_col])
 

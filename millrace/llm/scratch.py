@@ -1,26 +1,27 @@
 """Tables that cut lineage: written to the shared folder that the cluster names.
 
 The folder is read from ``spark.checkpoint.dir``.  Only where that setting is
-unset (tests, a laptop) does the session get a folder of its own.  Every table
+unset and there is no cluster (tests, a laptop) does the session get a folder of
+its own.  Every table
 is written by Spark's own committer, so a lost executor costs a task retry and
 never a half-read file.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.lineage import folder as shared_folder
+
 SETTING = "spark.checkpoint.dir"
 
 
 def root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as a path that Spark can read."""
-    folder = spark.conf.get(SETTING, None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    folder = shared_folder(spark)
+    if not spark.conf.get(SETTING, None):
         spark.conf.set(SETTING, folder)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)

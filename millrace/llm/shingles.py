@@ -12,7 +12,7 @@ import numpy as np
 from millrace.llm.tokens import _begins, in_runs
 
 #: Characters hashed at once: about a hundred bytes of memory each.
-RUN_CHARS = 1_000_000
+RUN_CHARS = 250_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20

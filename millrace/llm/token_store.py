@@ -17,7 +17,7 @@ record separator leaves one line feed after the container, which readers skip.
 
 Defined results: null text is an empty document (its end id only); rows with a
 null doc_id come first; repeated doc_ids stay separate documents, ordered by
-text; an empty table gives no file and no rows; other columns are not read.
+the text's hash, then by text, and may lie in several containers; an empty table gives no file and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import scratch
-from millrace.llm.tokens import encoder, in_runs
+from millrace.llm.tokens import bounded, column_runs, encoder
 
 MAGIC = b"MRTOKENS"
 HEAD = struct.Struct("<8sBBIIQIII")
 BYTE_PLANES, BIT_PLANES = 4, 32
+#: Bytes of text encoded at once.
+RUN_BYTES = 8_000_000
 
 
 def to_planes(block: np.ndarray, planes: int) -> list[bytes]:
@@ -135,9 +137,9 @@ def write(
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["container"])
 
         for batch in batches:
-            all_keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for run_of in in_runs(texts, 8_000_000):
-                ids, begin = encode.batch(texts[run_of])
+            all_keys = batch.column(0).to_pylist()
+            for run_of, texts in column_runs(batch.column(1), RUN_BYTES):
+                ids, begin = encode.batch(texts)
                 kept.append(np.insert(ids, begin[1:], end_id).astype("<u4", copy=False))
                 lengths.append(np.diff(begin) + 1)
                 keys += all_keys[run_of]
@@ -150,8 +152,11 @@ def write(
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
+    bounded(docs.sparkSession)
     split = [partitions] if partitions else []
-    dealt = rows.repartitionByRange(*split, F.asc_nulls_first("k")).sortWithinPartitions(F.asc_nulls_first("k"), "t")
+    # the digest parts the rows of a repeated key
+    order = [F.asc_nulls_first("k"), F.asc_nulls_first("h"), F.asc_nulls_first("t")]
+    dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(*split, *order[:2]).sortWithinPartitions(*order).drop("h")
     (
         dealt.mapInArrow(run, "container binary")
         .select(F.col("container").cast("string").alias("value"))

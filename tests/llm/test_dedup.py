@@ -139,52 +139,74 @@ def test_patience_matches_increase_and_agree():
     assert line_dedup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
 
 
+def blocks(later, earlier, words, least):
+    sizes = {x: w for x, w in zip(later, words)}
+    a, b = (np.array(x, np.int64) for x in (later, earlier))
+    return np.flatnonzero(line_dedup.common_blocks(a, np.array(words), b, np.array([sizes.get(x, 1) for x in earlier]), least)).tolist()
+
+
 def test_blocks_need_enough_words():
     later, earlier = [1, 2, 3, 9, 4], [7, 1, 2, 3, 8, 4]
-    assert line_dedup.common_blocks(later, earlier, [5, 5, 5, 5, 5], 15) == [0, 1, 2]
-    assert line_dedup.common_blocks(later, earlier, [5, 5, 5, 5, 5], 16) == []
-    assert line_dedup.common_blocks(later, earlier, [5, 5, 5, 5, 15], 15) == [0, 1, 2, 4]
+    assert blocks(later, earlier, [5, 5, 5, 5, 5], 15) == [0, 1, 2]
+    assert blocks(later, earlier, [5, 5, 5, 5, 5], 16) == []
+    assert blocks(later, earlier, [5, 5, 5, 5, 15], 15) == [0, 1, 2, 4]
+    # blocks that repeat, that moved, and the tail of a block behind a long line
+    assert blocks([8, 1, 2, 1, 2, 1, 2, 9], [7, 1, 2, 1, 2, 1, 2, 6], [12] * 8, 20) == [1, 2, 3, 4, 5, 6]
+    assert blocks([1, 2, 3, 4], [3, 4, 1, 2], [10] * 4, 20) == [0, 1, 2, 3]
+    assert blocks([1, 2, 3], [1, 2, 3], [25, 3, 3], 20) == [0, 1, 2]
 
 
-def brute_dedup(rows, min_words, rare):
+def plain_dedup(rows, min_words):
+    """All pairs, all common sequences of lines: nothing shared with the operator."""
     blanks = " \t\r\x0b\x0c"
-    docs, first, out, lines = dict(rows), {}, dict(rows), {}
-    for d in sorted(docs):
-        text = docs[d]
-        if not text:
-            continue
-        held = [(i, x.strip(blanks)) for i, x in enumerate(text.split("\n")) if x.strip(blanks)]
-        if text in first:
-            if sum(x.count(" ") + 1 for _, x in held) >= min_words:
-                out[d] = ""
-            continue
-        first[text], lines[d] = d, held
-    count, early = defaultdict(int), {}
-    for d in sorted(lines):
-        for x in {x for _, x in lines[d]}:
-            count[x] += 1
-            early.setdefault(x, d)
-    for d in sorted(lines):
-        shared = [x for _, x in lines[d] if count[x] > 1]
-        least = min((count[x] for x in shared), default=0)
+    docs = {d: [(i, x.strip(blanks)) for i, x in enumerate(t.split("\n")) if x.strip(blanks)] for d, t in sorted(rows)}
+    out = dict(rows)
+    for d in docs:
         drop = set()
-        for e in {early[x] for x in shared if count[x] <= rare or x.count(" ") + 1 >= min_words or count[x] == least} - {d}:
-            a, b = [x for _, x in lines[d]], [x for _, x in lines[e]]
-            drop |= {lines[d][i][0] for i in line_dedup.common_blocks(a, b, [x.count(" ") + 1 for x in a], min_words)}
+        for e in docs:
+            if e >= d:
+                continue
+            a, b = docs[d], docs[e]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = words = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                        words += a[i + n][1].count(" ") + 1
+                        n += 1
+                    if words >= min_words:
+                        drop |= {at for at, _ in a[i : i + n]}
         if drop:
-            left = [x for i, x in enumerate(docs[d].split("\n")) if i not in drop]
+            left = [x for i, x in enumerate(out[d].split("\n")) if i not in drop]
             out[d] = "\n".join(left) if any(x.strip(blanks) for x in left) else ""
     return out
 
 
-def test_dedup_equals_brute_force(spark):
-    rng = random.Random(7)
-    pool = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=rng.randint(1, 9))) for _ in range(60)]
-    rows = [(i, "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randint(0, 12)))) for i in range(150)]
-    rows += [(200 + i, rows[i][1]) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup(docs, min_words=12, rare=3).collect()}
-    assert got == brute_dedup(rows, 12, 3)
+@pytest.mark.parametrize(("seed", "pool_size", "least"), [(7, 60, 12), (8, 12, 20), (9, 200, 5)])
+def test_dedup_equals_brute_force(spark, seed, pool_size, least):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=rng.randint(1, 9))) for _ in range(pool_size)]
+    rows = [(i, "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    rows += [(200 + i, rows[i][1]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs, min_words=least).collect()}
+    assert got == plain_dedup(rows, least)
+
+
+def test_overlaps_of_later_documents_are_found(spark):
+    one, two = " ".join(f"l{i}" for i in range(12)), " ".join(f"m{i}" for i in range(12))
+    rows = [(1, f"{one}\nx"), (2, f"y\n{two}"), (3, f"a\n{one}\n{two}\nb"), (4, f"c\n{one}\n{two}\nd")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows), 4: "c\nd"}
+
+
+def test_a_group_of_copies_stands_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FANS", 4)
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(4))
+    rows = [(i, text) for i in range(60)] + [(100 + i, f"own {i}\n{text}") for i in range(60)] + [(5, text)] * 40
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == len(rows) and {r.text for r in got if 0 < r.doc_id < 100} == {""}
+    assert all(r.text == f"own {r.doc_id - 100}" and r.n_deleted == 4 for r in got if r.doc_id >= 100)
+    assert [r.text for r in got if r.doc_id == 0] == [text]
 
 
 def test_dedup_takes_awkward_rows(spark):
@@ -203,7 +225,7 @@ def test_dedup_takes_awkward_rows(spark):
 def test_a_long_passage_stays_once(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"own line number {i} of this text\n{passage}\nand another own line {i}") for i in range(30)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), rare=4).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert passage in got[0] and not any(passage in got[i] for i in range(1, 30))
     assert got[3] == "own line number 3 of this text\nand another own line 3"
 
@@ -217,36 +239,6 @@ def test_a_passage_of_frequent_short_lines_stays_once(spark):
     assert all(got[i].n_deleted == (3 if i else 0) for i in got)
 
 
-def test_dedup_equals_brute_force_with_runs(spark):
-    rng = random.Random(7)
-    pool = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=rng.randint(1, 9))) for _ in range(60)]
-    rows = [(i, "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randint(1, 12)))) for i in range(150)]
-    rows = list({t: (i, t) for i, t in reversed(rows) if t}.values())
-    lines = {i: [(at, x) for at, x in enumerate(t.split("\n")) if x.strip()] for i, t in sorted(rows)}
-    n = lambda x: x.count(" ") + 1
-    units = defaultdict(set)
-    for d, held in lines.items():
-        own = [x for _, x in held]
-        for i in range(len(own)):
-            ends = [j for j in range(i + 2, len(own) + 1) if sum(map(n, own[i:j])) >= 12]
-            units[d] |= {own[i]} | ({tuple(own[i : ends[0]])} if ends and n(own[i]) < 12 else set())
-    count, early = defaultdict(int), {}
-    for d in lines:
-        for u in units[d]:
-            count[u] += 1
-            early.setdefault(u, d)
-    want = {}
-    for d, held in lines.items():
-        least = min((count[u] for u in units[d] if isinstance(u, str) and count[u] > 1), default=0)
-        pair = {early[u] for u in units[d] if isinstance(u, tuple) or count[u] <= 3 or n(u) >= 12 or count[u] == least} - {d}
-        a, drop = [x for _, x in held], set()
-        for e in pair:
-            drop |= set(line_dedup.common_blocks(a, [x for _, x in lines[e]], [n(x) for x in a], 12))
-        want[d] = len(drop)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.n_deleted for r in line_dedup.dedup(docs, min_words=12, rare=3).collect()} == want
-
-
 def test_rule_bounds():
     rule = ngram_join.Rule(4, 85)
     assert rule.links(85, 85, 100) and not rule.links(84, 85, 99)

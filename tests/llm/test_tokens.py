@@ -20,7 +20,7 @@ def texts(n, seed):
 
 
 def test_pieces_give_the_librarys_ids():
-    encoder, library = PieceEncoder(BYTES, memo_pieces=500), Tokenizer.from_file(BYTES)
+    encoder, library = PieceEncoder(BYTES, memo_bytes=100_000), Tokenizer.from_file(BYTES)
     for seed in range(40):
         some = [*texts(20, seed), None]
         ids, begin = encoder.batch(some)
@@ -29,7 +29,7 @@ def test_pieces_give_the_librarys_ids():
 
 
 def test_backtracking_gives_the_librarys_ids_and_decoding():
-    encoder, library = bpe.WordEncoder(WORDS, memo_parts=500), Tokenizer.from_file(WORDS)
+    encoder, library = bpe.WordEncoder(WORDS, memo_bytes=100_000), Tokenizer.from_file(WORDS)
     rng = random.Random(5)
     for seed in range(40):
         words = ["".join(rng.choices("abcdeinorstlhu", k=rng.randint(1, 25))) for _ in range(10)]
