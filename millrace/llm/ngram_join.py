@@ -15,11 +15,11 @@ links between different sets count; none is looked for by chance.
    A block's sets form a matrix of classes and shingles; its products give all
    overlaps in the block.  Links merge classes into components.
 4. What may still link lies in two components and shares a prefix shingle.
-   Groups are now the components, again in blocks.  Pairs of blocks meet that
-   share enough prefix shingles, have matching sizes and are not of one
-   component.  Each query class is bounded by its overlap with the other
-   group's token union; only groups that a query qualifies for are opened,
-   and their overlaps counted exactly.
+   Groups are now the components, again in blocks.  The union of each group's
+   prefix shingles is stored.  A query class's overlap with a union bounds its
+   overlap with every member; only groups whose union shares enough with the
+   query, with a matching size and another component, are opened: their sets
+   and those of the queries that qualify meet, and overlaps are counted exactly.
 
 A large group of near copies becomes one component in step 3, where each class
 meets about `block` others a round, and so costs step 4 nothing.
@@ -46,13 +46,15 @@ from pyspark.sql.window import Window
 from millrace.llm import scratch
 from millrace.llm.components import components
 from millrace.llm.shingles import shingle_sets
-from millrace.llm.tokens import _begins, in_runs
+from millrace.llm.tokens import _begins, bounded, column_runs, forget
 
 #: Heaviest shingles that go last in the order; a bound on what is broadcast.
 HEAVY = 1 << 16
 #: A shingle counts as heavy in a run of texts from so many documents on.
 HEAVY_IN_RUN = 4
-RUN_CHARS = 8_000_000
+RUN_BYTES = 8_000_000
+#: Queries that meet one group in a task.
+ASKS = 256
 #: Bits of the map of wanted keys: 2 MB, whatever the table.
 WANTED_BITS = 1 << 24
 
@@ -95,10 +97,11 @@ def _members(docs: DataFrame, rule: Rule) -> DataFrame:
     """Rows of documents (key, class, size), and of heavy shingles of a run of texts (shingle, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for of in in_runs(texts, RUN_CHARS):
-                sets = shingle_sets(texts[of], rule.words)
+            keys = batch.column(0)
+            for of, texts in column_runs(batch.column(1), RUN_BYTES):
+                sets = shingle_sets(texts, rule.words)
                 n = [len(s) for s in sets]
                 classes = [_signature(s) for s in sets]
                 distinct = list({c: s for c, s in zip(classes, sets)}.values())
@@ -118,7 +121,10 @@ def _members(docs: DataFrame, rule: Rule) -> DataFrame:
 def _prefixes(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
     """Prefix shingles of every class, as (shingle, class, known); a task gives a class once.
 
-    `known` marks heavy shingles: they are shared, and need no shuffle to tell.
+    `known` marks shingles that are shared for sure: heavy ones, and those that
+    two classes of a run of texts have.  Of such a pair or more, one row goes
+    unmarked too, so that other runs meet it: the unmarked rows of a shingle are
+    one a run at most.
     """
     order = np.argsort(heavy)
     shared = docs.sparkSession.sparkContext.broadcast((heavy[order], order))  # at most HEAVY
@@ -126,11 +132,13 @@ def _prefixes(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavies, rank = shared.value
         seen: set[int] = set()
+        forget()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for of in in_runs(texts, RUN_CHARS):
+            for _, texts in column_runs(batch.column(1), RUN_BYTES):
+                if len(seen) > 2_000_000:
+                    seen.clear()
                 out, classes, sizes = [], [], []
-                for s in shingle_sets(texts[of], rule.words):
+                for s in shingle_sets(texts, rule.words):
                     if not len(s) or (c := _signature(s)) in seen:
                         continue
                     seen.add(c)
@@ -143,14 +151,17 @@ def _prefixes(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
                     out.append(first)
                     classes.append(c)
                     sizes.append(len(first))
-                if len(seen) > 2_000_000:
-                    seen.clear()
                 if not out:
                     continue
-                flat = np.concatenate(out)
-                known = np.isin(flat, heavies)
+                flat, of = np.concatenate(out), np.repeat(np.array(classes, np.int64), sizes)
+                order = np.argsort(flat, kind="stable")
+                flat, of = flat[order], of[order]
+                same = np.zeros(len(flat) + 1, bool)  # as the one before
+                same[1:-1] = flat[1:] == flat[:-1]
+                known = np.isin(flat, heavies) | same[:-1] | same[1:]
+                some = np.flatnonzero(same[1:] & ~same[:-1] & ~np.isin(flat, heavies))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(flat)), pa.array(np.repeat(np.array(classes, np.int64), sizes)), pa.array(known)],
+                    [pa.array(_signed(np.concatenate([flat, flat[some]]))), pa.array(np.concatenate([of, of[some]])), pa.array(np.concatenate([known, np.zeros(len(some), bool)]))],
                     ["shingle", "class", "known"],
                 )
 
@@ -158,7 +169,10 @@ def _prefixes(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """The distinct (shingle, class) of which a shingle has two classes."""
+    """The distinct (shingle, class) of which a shingle has two classes.
+
+    What a task can tell needs no window, so a frequent shingle has few rows in its own.
+    """
     of = Window.partitionBy("shingle")
     rare = prefixes.where("not known").select(
         "shingle", "class", F.min("class").over(of).alias("lo"), F.max("class").over(of).alias("hi")
@@ -194,10 +208,10 @@ def _sets(docs: DataFrame, active: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy()
             pick = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
-            texts, rows = (batch.column(c).take(pa.array(pick)).to_pylist() for c in (1, 3))
-            for of in in_runs(texts, RUN_CHARS):
+            rows = batch.column(3).take(pa.array(pick)).to_pylist()
+            for of, texts in column_runs(batch.column(1).take(pa.array(pick)), RUN_BYTES):
                 sets, classes, places = [], [], []
-                for s, row in zip(shingle_sets(texts[of], rule.words), rows[of]):
+                for s, row in zip(shingle_sets(texts, rule.words), rows[of]):
                     if not len(s) or (c := _signature(s)) in seen:
                         continue
                     seen.add(c)
@@ -241,7 +255,7 @@ def _overlaps(ones: np.ndarray, n_rows: int, n_columns: int, rows: np.ndarray, c
     out = np.zeros((len(rows), len(columns)), np.float32)
     order = np.argsort(ones[1], kind="stable")
     row, column = ones[0][order], ones[1][order]
-    step = 1 << 15
+    step = max(1 << 10, (1 << 21) // max(1, n_rows))  # slices of about 8 MB
     for lo in range(0, n_columns, step):
         a, b = np.searchsorted(column, [lo, lo + step])
         part = np.zeros((n_rows, min(step, n_columns - lo)), np.float32)
@@ -290,23 +304,18 @@ def _block_links(blocks: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _pair_links(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Links across pairs of blocks, rows of (one, other, second, class, n, set)."""
+    """Links of queries with members of a group, rows of (one, other, class, n, set, asks, member)."""
 
     def compare(table: pa.Table) -> pa.Table:
         names, n, ones, columns = _matrix(table)
-        second = table["second"].to_numpy(zero_copy_only=False).astype(bool)
-        whole = table["one"][0].as_py() == table["other"][0].as_py()
-        queries, group = np.flatnonzero(~second), np.flatnonzero(~second if whole else second)
-        if not len(queries) or not len(group):
-            return _edges([])
-        # the bound: a query's overlap with the group's token union
+        asks, member = (table[c].to_numpy().astype(bool) for c in ("asks", "member"))
+        queries, group = np.flatnonzero(asks), np.flatnonzero(member)
+        # the bound again, by whole sets: a query's overlap with the group's token union
         union = np.zeros(columns, bool)
-        in_group = np.zeros(len(n), bool)
-        in_group[group] = True
-        union[ones[1][in_group[ones[0]]]] = True
+        union[ones[1][member[ones[0]]]] = True
         bound = np.bincount(ones[0][union[ones[1]]], minlength=len(n))
         queries = queries[bound[queries] >= rule.least(n[queries])]
-        if not len(queries):
+        if not len(queries) or not len(group):
             return _edges([])
         overlap = _overlaps(ones, len(n), columns, queries, group)
         linked = np.zeros((len(n), len(n)), bool)
@@ -333,7 +342,8 @@ def linked(
     block: int = 48, rounds: int = 3, slack_share: float = 0.08,
 ) -> DataFrame:
     """(key, class, n_shingles, component): component is the smallest key reachable by links."""
-    spark, rule = docs.sparkSession, Rule(words, percent, slack_share)
+    rule = Rule(words, percent, slack_share)
+    bounded(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     first = scratch.table(_members(base, rule), "classes")
     members = first.where("not heavy").select("key", "class", "n")
@@ -375,22 +385,26 @@ def linked(
     )
     spots = shared.join(named, "class")
     open_shingles = spots.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    at = spots.join(open_shingles.select("shingle"), "shingle").select("shingle", "id").distinct().join(facts, "id")
-    at = scratch.table(at, "open")
-    x, y = at.alias("x"), at.alias("y")
+    asks = scratch.table(spots.join(open_shingles.select("shingle"), "shingle").select("shingle", "class", "n", "component", "id"), "open")
+    unions = scratch.table(asks.select("shingle", "id").distinct(), "unions")
+    x, y = asks.alias("x"), unions.join(facts, "id").alias("y")
     apart = (
         (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") <= F.col("y.id"))
-        & ((F.col("x.c_lo") != F.col("y.c_hi")) | (F.col("x.c_hi") != F.col("y.c_lo")))
-        & (F.col("x.n_hi") * 100 >= F.col("y.n_lo") * percent) & (F.col("y.n_hi") * 100 >= F.col("x.n_lo") * percent)
+        & ((F.col("x.component") != F.col("y.c_lo")) | (F.col("x.component") != F.col("y.c_hi")))
+        & (F.col("x.n") * 100 >= F.col("y.n_lo") * percent) & (F.col("y.n_hi") * 100 >= F.col("x.n") * percent)
     )
-    pairs = x.join(y, apart).groupBy(F.col("x.id").alias("one"), F.col("y.id").alias("other")).agg(
-        F.count("*").alias("common"), F.first(F.least("x.n_lo", "y.n_lo")).alias("n")
-    ).where(F.col("common") >= 1 + F.floor(F.col("n") * F.lit(rule.slack_share)))
-    pairs = scratch.table(pairs.select("one", "other"), "pairs")
-    sides = pairs.select("one", "other", F.col("one").alias("id"), F.lit(False).alias("second")).union(
-        pairs.where("one <> other").select("one", "other", F.col("other"), F.lit(True))
+    least = 1 + F.floor(F.floor(F.first("x.n") * percent / 100) * F.lit(rule.slack_share))
+    found = x.join(y, apart).groupBy(F.col("y.id").alias("one"), F.col("x.class").alias("class"))
+    found = scratch.table(found.agg(F.count("*").alias("common"), least.alias("least")).where("common >= least").select("one", "class"), "pairs")
+    parts = scratch.table(found.groupBy("one").agg(F.ceil(F.count("*") / F.lit(ASKS)).cast("long").alias("parts")), "parts")
+    query = found.join(parts, "one").join(named.select("class", "row"), "class").select(
+        "one", F.pmod(F.xxhash64("class", F.lit(3)), "parts").alias("other"), "class", "row", F.lit(1).alias("asks"), F.lit(0).alias("member")
     )
-    rows = sides.join(named.select("id", "class", "row"), "id").drop("id").join(sets, ["class", "row"]).drop("row")
+    members_of = parts.join(named, parts["one"] == named["id"]).select(
+        "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "class", "row", F.lit(0), F.lit(1)
+    )
+    roles = query.union(members_of).groupBy("one", "other", "class", "row").agg(F.max("asks").alias("asks"), F.max("member").alias("member"))
+    rows = roles.join(sets, ["class", "row"]).drop("row")
     across = _pair_links(rows, rule)
     # components of step 3 are nodes now: their stars and the new links
     stars = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -401,10 +415,12 @@ def linked(
     keyed = keyed.withColumn("component", F.coalesce("component", "class"))
     least = keyed.groupBy("component").agg(F.min("key").alias("least"))
     names = scratch.table(keyed.join(least, "component").select("class", "least"), "names")
-    scratch.drop(shared, wanted, active, sets, inner, merged, named, at, pairs)
+    scratch.drop(shared, wanted, active, sets, inner, merged, named, asks, unions, found, parts)
     out = members.join(names, "class", "left")
     component = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("least"))
-    return out.select("key", "class", F.col("n").alias("n_shingles"), component.alias("component"))
+    out = out.select("key", "class", F.col("n").alias("n_shingles"), component.alias("component"))
+    out.millrace_reads = [first, names]  # what the result is read from
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -422,4 +438,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     gone = found.where("key is not null").groupBy("key").agg(F.max(F.col("component") == F.col("key")).alias("stays"))
     name = scratch.unused(docs, "key")
     gone = scratch.table(gone.where("not stays").select(F.col("key").alias(name)), "near-copies")
+    scratch.drop(*found.millrace_reads)
     return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(name), "left_anti")

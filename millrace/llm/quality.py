@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from millrace.llm import scratch
@@ -190,7 +191,55 @@ class GatedAttention:
                     self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def score(docs: DataFrame, model: GatedAttention, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    def score(self, x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """A score for each document."""
+        if self.prior is not None:
+            return np.full(len(begin) - 1, self.prior)
+        return self._forward((x - self.mean) / self.spread, begin)["y"]
+
+
+def held_out(key: Column) -> Column:
+    """Rows that nothing is learned from: crc32 of the key as text, modulo 5, is 0."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "quality", sample_docs: int = 6_000, sample_passages: int = 200_000,
+) -> GatedAttention:
+    """A model from a bounded sample of the labelled documents that aren't held out."""
+    key = F.col(id_col)
+    known = labels.where(key.isNotNull() & F.col(label_col).isNotNull() & ~held_out(key))
+    some = known.groupBy(key.cast("long").alias("k")).agg(F.min(label_col).cast("double").alias("y"))
+    texts = docs.select(key.cast("long").alias("k"), F.col(text_col).alias("t"))
+    # the sample: keys with the smallest hashes among labelled keys, so at most sample_docs rows of keys
+    picked = F.broadcast(some.orderBy(F.xxhash64("k"), "k").limit(sample_docs))
+
+    bounded(docs.sparkSession)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            for of, some_texts in column_runs(batch.column(1), RUN_BYTES):
+                x, begin = passages(some_texts)
+                rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(begin[:-1], begin[1:])]
+                columns = [batch.column(0)[of], batch.column(2)[of], pa.array(np.diff(begin)), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "y", "n", "x"])
+
+    rows = texts.join(picked, "k").select("k", "t", "y").mapInArrow(encode, "k long, y double, n long, x binary")
+    held = scratch.table(rows, "sample")
+    # a window over the sampled documents only, of which there are `sample_docs` at most
+    order = [F.xxhash64("k"), F.col("k"), F.col("x")]
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = held.orderBy(*order).limit(sample_docs).withColumn("before", before).where(F.col("before") < sample_passages)
+    found = found.orderBy(*order).select("y", "x").collect()
+    scratch.drop(held)
+    bags = [np.frombuffer(r.x, "<f4").reshape(-1, WIDTH) for r in found]
+    x = np.concatenate(bags) if bags else np.zeros((0, WIDTH), "<f4")
+    return GatedAttention().fit(x, _begins([len(b) for b in bags]), np.array([r.y for r in found], float))
+
+
+def score(docs: DataFrame, model: GatedAttention, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with a score: each row's other columns go along, one of the score's name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     bounded(docs.sparkSession)
@@ -205,8 +254,6 @@ class GatedAttention:
             values = pa.array(np.concatenate(found) if found else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*names, score_col])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 

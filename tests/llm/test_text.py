@@ -278,3 +278,13 @@ def test_tree_walk_visits_every_leaf():
     assert sorted(tree.walk(x[0], 10**6)) == sorted(tree.leaves)
     assert set(tree.leaf(x)) <= set(tree.leaves)
     assert tree.walk(x[0], 3) == tree.walk(x[0], 10**6)[:3]
+
+
+def test_quality_learns_from_whole_documents(spark):
+    # good and bad differ only far behind the first passages
+    rows = [(i, "plain word " * 3_000 + ("end of it " if i % 2 else "BAD!! STUFF?? ") * 2_000) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for most in (200_000, 4_000):
+        got = quality.classify(docs, marks, sample_passages=most).collect()
+        assert all(r.predicted == r.doc_id % 2 for r in got)
