@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir), with `docs` as its predecessor wrote
 them, and returns a DataFrame; all but the last return the columns of
 `documents`.  `run` writes each stage's rows as Parquet to the shared folder and
 reads them again for the next.
+
+Defined results: the first stage keeps a document of null or empty text if the
+model's score for it is high enough; line dedup keeps those, as they lose
+nothing, and drops documents that it empties; near copies keeps documents
+without words, and those with null keys, which link with nothing; packing
+gives a document without text its end id alone.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +21,8 @@ from millrace.llm import line_dedup, ngram_join, packing, quality, scratch
 
 #: Documents with a score below it go.
 KEEP_FROM = 0.3
+#: Bytes for what a worker's encoder remembers: executors have held three other stages by then.
+MEMO_BYTES = 64 << 20
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +48,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that remain, packed into sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo_bytes=MEMO_BYTES)
 
 
 STAGES = [
