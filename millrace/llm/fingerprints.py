@@ -17,11 +17,12 @@ The text form of a fingerprint is the hexadecimal digits of its lanes.
 
 Defined results: null text is an empty one, whose fingerprint is all zeros;
 an empty table gives no rows; repeated rows and doc_ids stay separate, ordered
-by text; a null doc_id comes first; the only row's next document is itself.
+by the text's hash, then by text; a null doc_id comes first; the only row's next document is itself.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -178,36 +179,64 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(one == other, F.lit(1.0)).otherwise(estimate)
 
 
-def with_next(docs: DataFrame, key: str, order: list[str], carried: list[str], buckets: int = 512) -> DataFrame:
-    """Adds `next_<column>` of the row that follows by key (then `order`); the first follows the last.
+def _ranges(rows: DataFrame, range_chars: int) -> tuple[Column, Column]:
+    """(range, part) of each row by its key `_k` and hash `_h`: in order, and about as many as there is text.
 
-    Rows are dealt into ranges of the key between approximate quantiles (at
-    most `buckets` numbers on the driver).  Into each range also goes a copy of
-    the first row of the range that follows, so one window in each range sees
-    every row's successor, and one shuffle is all.
+    Ranges lie between approximate quantiles of the key, at least 512 of them.
+    A key on which several quantiles fall has parts of its own by the hash.
+    """
+    # 1 in 10,000 quantiles is the sketch's own error
+    total = rows.agg(F.sum(F.col("_chars")).alias("chars")).first().chars or 0
+    many = min(max(512, total // range_chars), 100_000)
+    points = [i / many for i in range(1, many)]
+    cuts = rows.agg(F.percentile_approx("_k", points, 20 * many).alias("cuts")).first().cuts or []
+    times = Counter(cuts)
+    bounds = sorted(times)
+    if not bounds:
+        return F.lit(0), F.lit(0)
+    # two steps, so that a row is compared with about twice the root of the number of bounds
+    wide = int(len(bounds) ** 0.5) + 1
+    chunks = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    first = F.lit([c[0] for c in chunks]).cast("array<long>")
+    second = F.from_json(F.lit(str(chunks)), "array<array<bigint>>")
+    outer = F.size(F.filter(first, lambda c: c <= F.col("_k")))
+    inner = F.size(F.filter(F.element_at(second, outer), lambda c: c <= F.col("_k")))
+    at = F.when(outer == 0, 0).otherwise((outer - 1) * wide + inner)
+    hot = {k: n for k, n in times.items() if n > 1}
+    if not hot:
+        return at, F.lit(0)
+    share = F.map_from_arrays(F.lit(list(hot)).cast("array<long>"), F.lit(list(hot.values())).cast("array<int>"))[F.col("_k")]
+    # the key that begins the range comes first, in parts by its hash; the others of the range after them
+    part = F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * share).cast("int")
+    return at, F.coalesce(F.least(part, share - 1), F.lit(1 << 30))
+
+
+def with_next(docs: DataFrame, key: str, text: str, more: Callable[[DataFrame], DataFrame], carried: list[str], range_chars: int = 16_000_000) -> DataFrame:
+    """Adds `next_<column>` of the row that follows by key (then the text's hash, then the text); the first follows the last.
+
+    Rows are dealt into ranges, in number as there is text.  Into each range
+    also goes a copy of the first row of the range that follows, so one window
+    in each range sees every row's successor, and one shuffle is all.  First
+    rows are found by key and hash; `more` adds columns after that.
     """
     spark = docs.sparkSession
     least = F.coalesce(F.col(key), F.lit(-(1 << 63)).cast("long"))
-    rows = docs.withColumn("_k", least)
-    points = [i / buckets for i in range(1, buckets)]
-    cuts = rows.agg(F.percentile_approx("_k", points, 10_000).alias("cuts")).first().cuts or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    rows = rows.withColumn("_b", F.size(F.filter(bounds, lambda c: c <= F.col("_k"))) if cuts else F.lit(0))
-    firsts = sorted((r["_b"], r["_k"]) for r in rows.groupBy("_b").agg(F.min("_k").alias("_k")).collect())
-    before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]  # the first range precedes nothing but the last
-    owners = spark.createDataFrame(before, "_k long, _to int")
-    order_by = [F.asc_nulls_first(c) for c in order]
-    heads = (
-        rows.join(F.broadcast(owners), "_k")  # one row a range
-        .withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(*order_by)))
-        .where("_n = 1")
-        .select(*docs.columns, "_k", F.col("_to").alias("_b"), F.lit(1).alias("_copy"))
+    rows = docs.withColumn("_k", least).withColumn("_h", F.xxhash64(text)).withColumn("_chars", F.length(text))
+    at, part = _ranges(rows, range_chars)
+    rows = rows.drop("_chars").withColumn("_b", at.cast("int")).withColumn("_p", part.cast("int"))
+    # a row a range on the driver: where it begins
+    firsts = rows.groupBy("_b", "_p").agg(F.min(F.struct("_k", "_h")).alias("m")).select("_b", "_p", "m._k", "m._h").collect()
+    firsts = sorted((r["_b"], r["_p"], r["_k"], r["_h"]) for r in firsts)
+    before = [(k, h, *firsts[i - 1][:2]) for i, (_, _, k, h) in enumerate(firsts)]  # the first range precedes nothing but the last
+    owners = F.broadcast(spark.createDataFrame(before, "_k long, _h long, _to int, _to_p int"))
+    heads = rows.drop("_b", "_p").join(owners, ["_k", "_h"]).groupBy("_to", "_to_p", "_k", "_h")
+    heads = heads.agg(F.min(F.struct(*docs.columns)).alias("row")).select(
+        "row.*", "_k", "_h", F.col("_to").alias("_b"), F.col("_to_p").alias("_p"), F.lit(1).alias("_copy")
     )
-    both = rows.withColumn("_copy", F.lit(0)).select(*docs.columns, "_k", "_b", "_copy").unionByName(heads)
-    along = Window.partitionBy("_b").orderBy("_copy", "_k", *order_by)
+    both = more(rows.withColumn("_copy", F.lit(0)).unionByName(heads))
+    along = Window.partitionBy("_b", "_p").orderBy("_copy", "_k", "_h", F.asc_nulls_first(text))
     out = both.select("*", *[F.lead(c).over(along).alias(f"next_{c}") for c in carried])
-    return out.where("_copy = 0").drop("_k", "_b", "_copy")
+    return out.where("_copy = 0").drop("_k", "_h", "_b", "_p", "_copy")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,8 +244,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    named = base.withColumn("own", lanes(F.col("text")))
-    chained = with_next(named, "doc_id", ["text"], ["text", "own"])
+    chained = with_next(base, "doc_id", "text", lambda rows: rows.withColumn("own", lanes(F.col("text"))), ["text", "own"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     cut = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))

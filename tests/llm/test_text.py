@@ -254,6 +254,26 @@ def test_search_reaches_its_recall(spark):
         assert all(abs(s - vector[q] @ vector[i]) < 1e-9 for _, i, s in f)
 
 
+def test_search_with_its_defaults_scores_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6_000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), ann.F.col("vec_id") % 20 == 0).collect()
+    near, found = x.astype(float) @ x.astype(float).T, {}
+    np.fill_diagonal(near, -9)
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(found) == 300 and {len(f) for f in found.values()} == {20}
+    hits = sum(len(f & set(np.argsort(-near[q])[:20].tolist())) for q, f in found.items())
+    assert hits >= 0.9 * 20 * 300
+    tree = ann.Tree(x[:4_000].astype(float))
+    leaf, q = tree.leaf(x.astype(float)), x[7].astype(float)
+    walk = tree.walk(q, 10**6)
+    rank = {name: i for i, name in enumerate(walk)}
+    assert np.median([rank[name] for name in leaf[np.argsort(-near[7])[:20]]]) < 0.15 * len(walk)
+
+
 def test_search_takes_awkward_rows(spark):
     one = [1.0, 0.5]
     rows = [(None, one), (0, one), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0])]
@@ -288,3 +308,33 @@ def test_quality_learns_from_whole_documents(spark):
     for most in (200_000, 4_000):
         got = quality.classify(docs, marks, sample_passages=most).collect()
         assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_edits_in_many_ranges_and_of_one_key(spark):
+    import hashlib
+
+    rows = [(None if i % 3 == 0 else i // 7, f"text {i % 50}\nof row {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = fingerprints.edits(docs).collect()
+    assert len(got) == 900
+    # rows of one key come in some order of their own; every row is the next of one other
+    texts = dict(zip((hashlib.sha256(t.encode()).hexdigest() for _, t in rows), rows))
+    want = set()
+    for _, a in rows:
+        for _, b in rows:
+            half = len(a) // 2
+            want.add(hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest())
+    assert all(r.edited_sha256 in want for r in got) and len(texts) == 900
+    base = docs.select(fingerprints.F.col("doc_id"), "text")
+    chained = fingerprints.with_next(base, "doc_id", "text", lambda d: d, ["doc_id", "text"], range_chars=300).collect()
+    assert sorted(r.next_text for r in chained) == sorted(t for _, t in rows)
+    order = sorted({k for k, _ in rows}, key=lambda k: (k is not None, k))
+    follows = dict(zip(order, [*order[1:], order[0]]))
+    assert all(r.next_doc_id in (r.doc_id, follows[r.doc_id]) for r in chained)
+    assert sum(r.next_doc_id != r.doc_id for r in chained) == len(order)
+
+
+def test_search_of_a_key_with_many_vectors(spark):
+    rows = [(0, [1.0, i / 1000]) for i in range(30)] + [(i, [0.5, i / 1000]) for i in range(1, 20)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), ann.F.col("vec_id") == 0, k=5, target=1.0).collect()
+    assert len(got) == 5 and 0 not in {r.vec_id for r in got}
