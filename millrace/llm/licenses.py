@@ -3,13 +3,18 @@
 A text is reduced to its words in lower case, joined by single spaces.  Each
 rule is a regular expression over that form with a label, keywords, a priority and
 a weight.  A rule's expression runs only where one of its keywords stands; texts
-with no anchor word of any rule skip all of them.  Detections are intervals of
+without any keyword or base phrase skip all of them.  Detections are intervals of
 words.  One is suppressed when another contains its interval and has a higher
 priority, or the same priority and more words, or the same interval and an
 earlier rule.  What remains gives the labels.
 
-The rules are families of licences (`FAMILIES`) in the phrasings in which
-notices name them (`PHRASINGS`), and single notices (`NOTICES`).
+Rules are of two kinds.  Written ones (`NOTICES`) are signatures of single
+licences: opening and telling sentences of their texts, their addresses, and
+general notices.  The others are made from families of licences (`FAMILIES`,
+22 names without a version and 36 with one) in the phrasings in which notices name them
+(`PHRASINGS`), and versions also by their bare names.
+
+A text's work grows as its length, and as the number of its detections to 1.5.
 
 Base phrases (`BASE`) are found apart from the rules and never suppressed.
 
@@ -23,6 +28,10 @@ no rows.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -63,31 +72,31 @@ def _versions(label: str, name: str, keywords: str, versions: tuple[str, ...]) -
 
 
 FAMILIES: list[Family] = [
-    *_versions("gpl", r"(?:gnu )?(?:gpl|general public license)", "gpl|general public", ("1.0", "2.0", "3.0")),
-    *_versions("lgpl", r"(?:gnu )?(?:lgpl|lesser general public license|library general public license)", "lgpl|lesser general|library general", ("2.0", "2.1", "3.0")),
-    *_versions("agpl", r"(?:gnu )?(?:agpl|affero general public license)", "agpl|affero", ("1.0", "3.0")),
-    *_versions("gfdl", r"(?:gnu )?(?:gfdl|free documentation license)", "gfdl|free documentation", ("1.1", "1.2", "1.3")),
-    *_versions("apache", r"apache(?: software)?(?: license)?", "apache", ("1.0", "1.1", "2.0")),
-    *_versions("mpl", r"(?:mpl|mozilla public license)", "mpl|mozilla", ("1.0", "1.1", "2.0")),
-    *_versions("epl", r"(?:epl|eclipse public license)", "epl|eclipse", ("1.0", "2.0")),
-    *_versions("eupl", r"(?:eupl|european union public licen[cs]e)", "eupl|european union", ("1.1", "1.2")),
-    *_versions("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv\w+)", "cc by nc|creative commons", ("3.0", "4.0")),
-    *_versions("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc by nc|creative commons", ("3.0", "4.0")),
-    *_versions("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", "cc by nc|creative commons", ("3.0", "4.0")),
-    *_versions("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv\w+)", "cc by nd|creative commons", ("3.0", "4.0")),
-    *_versions("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", "cc by sa|creative commons", ("3.0", "4.0")),
-    *_versions("cc-by", r"(?:cc by|creative commons attribution)", "cc by|creative commons", ("3.0", "4.0")),
-    Family("cc0-1.0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?", "cc0|cc zero|creative commons"),
-    Family("mit", r"mit(?: x11)?(?= licen[cs]e)", "mit"),
-    Family("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)", "bsd"),
-    Family("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|(?:new|modified|revised) bsd)", "bsd"),
-    Family("bsd", r"bsd", "bsd"),
-    Family("isc", r"isc(?= licen[cs]e)", "isc"),
-    Family("zlib", r"zlib(?: libpng)?(?= licen[cs]e)", "zlib"),
-    Family("boost-1.0", r"boost software license(?: version)?(?: 1 0)?", "boost"),
-    Family("artistic-2.0", r"artistic license(?: version)? 2(?: 0)?", "artistic"),
-    Family("unlicense", r"unlicense", "unlicense"),
-    Family("wtfpl", r"wtfpl", "wtfpl"),
+    *_versions("gpl", r"(?:gnu )?(?:gpl|general public license)", " gpl| general public license ", ("1.0", "2.0", "3.0")),
+    *_versions("lgpl", r"(?:gnu )?(?:lgpl|lesser general public license|library general public license)", " lgpl| lesser general public | library general public ", ("2.0", "2.1", "3.0")),
+    *_versions("agpl", r"(?:gnu )?(?:agpl|affero general public license)", " agpl| affero ", ("1.0", "3.0")),
+    *_versions("gfdl", r"(?:gnu )?(?:gfdl|free documentation license)", " gfdl| free documentation license ", ("1.1", "1.2", "1.3")),
+    *_versions("apache", r"apache(?: software)?(?: license)?", " apache ", ("1.0", "1.1", "2.0")),
+    *_versions("mpl", r"(?:mpl|mozilla public license)", " mpl | mozilla public ", ("1.0", "1.1", "2.0")),
+    *_versions("epl", r"(?:epl|eclipse public license)", " epl | eclipse public ", ("1.0", "2.0")),
+    *_versions("eupl", r"(?:eupl|european union public licen[cs]e)", " eupl | european union public ", ("1.1", "1.2")),
+    *_versions("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv\w+)", " cc by nc| creative commons attribution ", ("3.0", "4.0")),
+    *_versions("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", " cc by nc| creative commons attribution ", ("3.0", "4.0")),
+    *_versions("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", " cc by nc| creative commons attribution ", ("3.0", "4.0")),
+    *_versions("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv\w+)", " cc by nd| creative commons attribution ", ("3.0", "4.0")),
+    *_versions("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", " cc by sa| creative commons attribution ", ("3.0", "4.0")),
+    *_versions("cc-by", r"(?:cc by|creative commons attribution)", " cc by | creative commons attribution ", ("3.0", "4.0")),
+    Family("cc0-1.0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?", " cc0 | cc zero | creative commons zero "),
+    Family("mit", r"mit(?: x11)?(?= licen[cs]e)", " mit licen| mit x11 licen"),
+    Family("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)", " bsd "),
+    Family("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|(?:new|modified|revised) bsd)", " bsd "),
+    Family("bsd", r"bsd", " bsd "),
+    Family("isc", r"isc(?= licen[cs]e)", " isc licen"),
+    Family("zlib", r"zlib(?: libpng)?(?= licen[cs]e)", " zlib licen| zlib libpng licen"),
+    Family("boost-1.0", r"boost software license(?: version)?(?: 1 0)?", " boost software license "),
+    Family("artistic-2.0", r"artistic license(?: version)? 2(?: 0)?", " artistic license "),
+    Family("unlicense", r"unlicense", " unlicense "),
+    Family("wtfpl", r"wtfpl", " wtfpl "),
 ]
 
 #: How a notice names a licence; {name} is the family's pattern.
@@ -102,37 +111,94 @@ PHRASINGS: list[tuple[str, int, float]] = [
     (r"{name} licen[cs]e", 45, 0.5),
 ]
 
-#: Notices that name no family.
+#: Opening and telling sentences of licences, their addresses, and notices that name no family.
 NOTICES: list[Rule] = [
-    Rule("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 85, 0.95),
-    Rule("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 85, 0.95),
-    Rule("gpl", "free software foundation", r"redistribute it and or modify it under the terms of the gnu general public license", 85, 0.95),
-    Rule("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 85, 0.9),
-    Rule("public-domain", "public domain", r"(?:is|are|in|into|released to|dedicated to) (?:the )?public domain", 60, 0.7),
-    Rule("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", 30, 0.4),
-    Rule("copyright", "copyright", r"copyright (?:c|by) \S+", 25, 0.3),
-    Rule("reserved", "reserved", r"(?:all|some|no) rights reserved", 30, 0.3),
-    Rule("no-warranty", "warrant", r"without (?:any )?warrant(?:y|ies)(?: of any kind)?", 20, 0.2),
-    Rule("no-warranty", "as is", r"provided as is", 20, 0.2),
+    Rule("apache-2.0", " apache license version 2 0 january ", r"apache license version 2 0 january 2004", 97, 0.99),
+    Rule("apache-2.0", " the license you may not use ", r"licensed under the apache license version 2 0 the license you may not use this (?:file|work|software) except in compliance with the license", 96, 0.99),
+    Rule("apache-2.0", " agreed to in writing software ", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 92, 0.9),
+    Rule("apache-2.0", " apache org licenses ", r"(?:www )?apache org licenses license 2 0(?: txt| html)?", 88, 0.9),
+    Rule("apache-1.1", " apache software foundation ", r"this product includes software developed by the apache software foundation", 75, 0.7),
+    Rule("mit", " permission is hereby granted ", r"permission is hereby granted free of charge to any person obtaining a copy", 85, 0.95),
+    Rule("mit", " substantial portions ", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software", 86, 0.95),
+    Rule("mit", " opensource org licenses mit ", r"opensource org licenses mit(?: license)?", 84, 0.9),
+    Rule("json", " good not evil ", r"the software shall be used for good not evil", 93, 0.95),
+    Rule("bsd", " redistribution and use in source ", r"redistribution and use in source and binary forms with or without modification are permitted", 85, 0.95),
+    Rule("bsd-2-clause", " redistributions of source code ", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 82, 0.85),
+    Rule("bsd-2-clause", " redistributions in binary form ", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 82, 0.85),
+    Rule("bsd-3-clause", " endorse or promote ", r"neither the names? of (?:[^ ]+ ){1,12}nor the names of (?:its|the|their) contributors may be used to endorse or promote products", 90, 0.95),
+    Rule("bsd-4-clause", " advertising materials mentioning ", r"all advertising materials mentioning features or use of this software must display the following acknowledg?e?ment", 91, 0.95),
+    Rule("gpl-2.0", " version 2 june 1991 ", r"gnu general public license version 2 june 1991", 97, 0.99),
+    Rule("gpl-3.0", " version 3 29 june 2007 ", r"gnu general public license version 3 29 june 2007", 97, 0.99),
+    Rule("lgpl-2.0", " version 2 june 1991 ", r"gnu library general public license version 2 june 1991", 98, 0.99),
+    Rule("lgpl-2.1", " version 2 1 february 1999 ", r"gnu lesser general public license version 2 1 february 1999", 97, 0.99),
+    Rule("lgpl-3.0", " version 3 29 june 2007 ", r"gnu lesser general public license version 3 29 june 2007", 98, 0.99),
+    Rule("agpl-3.0", " version 3 19 november 2007 ", r"gnu affero general public license version 3 19 november 2007", 97, 0.99),
+    Rule("gfdl", " free documentation license ", r"copy distribute and or modify this document under the terms of the gnu free documentation license", 90, 0.95),
+    Rule("gpl", " redistribute it and or modify ", r"redistribute it and or modify it under the terms of the gnu general public license", 85, 0.95),
+    Rule("lgpl", " redistribute it and or modify ", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 86, 0.95),
+    Rule("agpl", " redistribute it and or modify ", r"redistribute it and or modify it under the terms of the gnu affero general public license", 86, 0.95),
+    Rule("gpl", " received a copy of the gnu ", r"you should have received a copy of the gnu general public license along with", 84, 0.9),
+    Rule("lgpl", " received a copy of the gnu ", r"you should have received a copy of the gnu (?:lesser|library) general public license along with", 84, 0.9),
+    Rule("agpl", " received a copy of the gnu ", r"you should have received a copy of the gnu affero general public license along with", 84, 0.9),
+    Rule("gpl-2.0", " either version 2 of the license ", r"gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", 94, 0.97),
+    Rule("gpl-3.0", " either version 3 of the license ", r"gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 94, 0.97),
+    Rule("gpl", " gnu org licenses ", r"(?:www )?gnu org (?:licenses|copyleft) gpl(?: \d 0)?(?: html| txt)?", 80, 0.85),
+    Rule("lgpl", " gnu org licenses ", r"(?:www )?gnu org (?:licenses|copyleft) (?:old licenses )?lgpl(?: \d \d)?(?: html| txt)?", 80, 0.85),
+    Rule("agpl", " gnu org licenses ", r"(?:www )?gnu org licenses agpl(?: \d 0)?(?: html| txt)?", 80, 0.85),
+    Rule("gfdl", " gnu org licenses ", r"(?:www )?gnu org (?:licenses|copyleft) fdl(?: \d \d)?(?: html| txt)?", 80, 0.85),
+    Rule("mpl-2.0", " this source code form is subject ", r"this source code form is subject to the terms of the mozilla public license v 2 0", 95, 0.98),
+    Rule("mpl-1.1", " contents of this file are subject ", r"the contents of this file are subject to the mozilla public license version 1 1", 95, 0.98),
+    Rule("mpl", " mozilla org ", r"(?:www )?mozilla org mpl(?: mpl)?(?: \d \d)?(?: html| txt)?", 80, 0.85),
+    Rule("epl", " accompanying materials are made available ", r"this program and the accompanying materials are made available under the terms of the eclipse public license", 92, 0.95),
+    Rule("epl", " eclipse org legal ", r"(?:www )?eclipse org legal epl(?: v ?\d ?0| \d 0)?(?: html| txt)?", 80, 0.85),
+    Rule("cddl", " common development and distribution license ", r"common development and distribution license(?: version 1 [01])?", 82, 0.9),
+    Rule("isc", " permission to use copy modify ", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 86, 0.95),
+    Rule("postgresql", " permission to use copy modify ", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee", 86, 0.95),
+    Rule("hpnd", " permission to use copy modify ", r"permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose is hereby granted", 85, 0.9),
+    Rule("zlib", " altered source versions ", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 92, 0.97),
+    Rule("zlib", " held liable for any damages ", r"in no event will the authors be held liable for any damages arising from the use of this software", 85, 0.85),
+    Rule("boost-1.0", " boost software license ", r"boost software license version 1 0 august 17th 2003", 97, 0.99),
+    Rule("boost-1.0", " boost org ", r"(?:www )?boost org license 1 0 txt", 88, 0.95),
+    Rule("unlicense", " free and unencumbered software ", r"this is free and unencumbered software released into the public domain", 95, 0.98),
+    Rule("unlicense", " unlicense org ", r"(?:www )?unlicense org", 80, 0.85),
+    Rule("wtfpl", " what the fuck you want to ", r"do what the fuck you want to(?: public license)?", 92, 0.95),
+    Rule("cc0-1.0", " creativecommons org publicdomain zero ", r"creativecommons org publicdomain zero 1 0", 92, 0.97),
+    Rule("cc-by-nc-nd", " creativecommons org licenses by nc nd ", r"creativecommons org licenses by nc nd(?: \d \d)?", 88, 0.95),
+    Rule("cc-by-nc-sa", " creativecommons org licenses by nc sa ", r"creativecommons org licenses by nc sa(?: \d \d)?", 88, 0.95),
+    Rule("cc-by-nc", " creativecommons org licenses by nc ", r"creativecommons org licenses by nc(?: \d \d)?", 87, 0.95),
+    Rule("cc-by-nd", " creativecommons org licenses by nd ", r"creativecommons org licenses by nd(?: \d \d)?", 88, 0.95),
+    Rule("cc-by-sa", " creativecommons org licenses by sa ", r"creativecommons org licenses by sa(?: \d \d)?", 88, 0.95),
+    Rule("cc-by", " creativecommons org licenses by ", r"creativecommons org licenses by(?: \d \d)?", 86, 0.95),
+    Rule("ofl-1.1", " sil open font license ", r"sil open font license(?: version)?(?: 1 1)?", 85, 0.95),
+    Rule("ofl-1.1", " scripts sil org ofl ", r"scripts sil org ofl", 80, 0.85),
+    Rule("artistic-2.0", " artistic license 2 0 ", r"the artistic license 2 0 copyright c", 95, 0.97),
+    Rule("psf-2.0", " python software foundation license ", r"python software foundation license(?: version 2)?", 85, 0.95),
+    Rule("php-3.01", " php license ", r"php license(?: version)? 3 01", 85, 0.95),
+    Rule("openssl", " openssl toolkit ", r"software developed by the openssl project for use in the openssl toolkit", 88, 0.95),
+    Rule("ms-pl", " microsoft public license ", r"microsoft public license(?: ms pl)?", 85, 0.95),
+    Rule("odbl-1.0", " open database license ", r"(?:open data commons )?open database license(?: odbl)?(?: v?1 0)?", 85, 0.95),
+    Rule("ncsa", " illinois ", r"university of illinois ncsa open source license", 90, 0.97),
+    Rule("beerware", " beer ware license ", r"the beer ware license(?: revision 42)?", 90, 0.97),
+    Rule("afl-3.0", " academic free license ", r"academic free license(?: version)?(?: 3 0)?", 85, 0.95),
+    Rule("osl-3.0", " open software license ", r"open software license(?: version)?(?: 3 0)?", 85, 0.95),
+    Rule("public-domain", " public domain ", r"(?:is|are|in|into|released to|dedicated to) (?:the )?public domain", 60, 0.7),
+    Rule("copyright", " copyright ", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", 30, 0.4),
+    Rule("copyright", " copyright ", r"copyright (?:c|by) [^ ]+", 25, 0.3),
+    Rule("reserved", " rights reserved ", r"(?:all|some|no) rights reserved", 30, 0.3),
+    Rule("no-warranty", " warrant", r"without (?:any )?warrant(?:y|ies)(?: of any kind)?", 20, 0.2),
+    Rule("no-warranty", " provided as is ", r"provided as is", 20, 0.2),
 ]
 
-#: Words that every rule's and base phrase's text holds one of, as they stand in the reduced form.
-ANCHORS = (
-    " licen", " lizenz", " unlicense ", " reserved ", " cc by ", " creative commons ", " cc0 ", " cc zero ", " copyright ",
-    " public domain ", " permission ", " redistribut", " warrant", " as is ", " gpl", " lgpl", " agpl", " gfdl",
-    " under the ", " according to ", " pursuant to ", " subject to ", " see ", " read ", " copy of ",
-    " relicensed under ", " released under ", " distributed under ", " available under ", " published under ",
-    " provided under ", " covered under ", " to you under ",
-)
-
 
 def rules() -> list[Rule]:
-    """All rules in order: each family in each phrasing, then the notices."""
-    return [
+    """All rules in order: each family in each phrasing, versions by their bare names, then sentences and notices."""
+    versions = [Rule(f.label, f.keywords, f.name, 48, 0.55) for f in FAMILIES if f.label[-1].isdigit()]
+    named = [
         Rule(f.label, f.keywords, p.format(name=f.name), priority, weight)
         for p, priority, weight in PHRASINGS
         for f in FAMILIES
-    ] + NOTICES
+    ]
+    return named + versions + NOTICES
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -149,44 +215,82 @@ def _spaces(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+_BEGIN, _END = "\x01", "\x02"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_blocks(values: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of each block of an array that is at hand, about as many blocks as each has values."""
+
+    def cut(n: Column) -> Column:
+        wide = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), n, wide), lambda i: _let(F.slice(values, i, wide), body))
+
+    return F.when(F.size(values) > 0, cut(F.size(values)))
+
+
+def _running(steps: Column, of: Callable[[Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """`out(step, sum of the steps before)` of each step, by blocks: an array is never copied whole for each of its values."""
+
+    def inside(base: Column, block: Column) -> Column:
+        zero = F.struct(base.alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+        return F.aggregate(
+            block, zero, lambda acc, x: F.struct((acc["at"] + of(x)).alias("at"), F.concat(acc["found"], F.array(out(x, acc["at"]))).alias("found")),
+            lambda acc: acc["found"],
+        )
+
+    def whole(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + of(x)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+        bases = F.aggregate(
+            sums, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found")), lambda acc: acc["found"]
+        )
+        return F.flatten(F.zip_with(bases, blocks, inside))
+
+    return _let(steps, lambda v: _let(_in_blocks(v, lambda b: b), whole))
+
+
 def intervals(form: Column, regex: Column) -> Column:
-    """First word and length of each match of `regex` between words of the reduced form."""
+    """First word and length of each match of `regex` between words of the reduced form: one pass marks them all."""
     bounded = F.concat(F.lit("(?<= )(?:"), regex, F.lit(")(?= )"))
-    between = F.split(form, bounded, -1)
-    words = F.transform(F.regexp_extract_all(form, bounded, F.lit(0)), lambda m: _spaces(m) + 1)
-    # spaces before match i: those of the gaps up to it, and one less than the words of each match before
-    zero = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("found"))
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(words)), words, lambda gap, n: F.struct(_spaces(gap).alias("gap"), n.alias("n")))
-    return F.aggregate(
-        steps, zero,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"] - 1).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["n"].alias("size")))).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
+    pieces = F.split(F.regexp_replace(form, bounded, F.lit(f"{_BEGIN}$0{_END}")), _BEGIN, -1)
+
+    def step(piece: Column) -> Column:
+        # a match and the gap behind it; the first piece is a gap alone
+        words = F.when(F.contains(piece, F.lit(_END)), _spaces(F.substring_index(piece, _END, 1)) + 1).otherwise(0)
+        return F.struct(words.alias("size"), _spaces(piece).alias("spaces"))
+
+    kind = "struct<start:int,size:int>"
+    # spaces before a match, less the one before the first word
+    found = _running(F.transform(pieces, step), lambda x: x["spaces"], lambda x, at: F.struct((at - 1).alias("start"), x["size"].alias("size")), kind)
+    return F.when(F.contains(form, F.lit(" ")), F.filter(found, lambda x: x["size"] > 0)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def _gates(table: list[Rule]) -> list[str]:
+    """The keywords of all rules and the base phrases: a text without any holds nothing to find."""
+    every = {k for r in table for k in r.keywords.split("|")} | {f" {p} " for p in BASE}
+    # one that holds another adds nothing
+    return sorted(k for k in every if not any(o != k and o in k for o in every))
 
 
-def _anchored(form: Column) -> Column:
-    tests = [F.contains(form, F.lit(a)) for a in ANCHORS]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
+def _anchored(form: Column, table: list[Rule]) -> Column:
+    return reduce(or_, [F.contains(form, F.lit(k)) for k in _gates(table)])
+
+
+_RULES = "array<struct<rule:int,label:string,keywords:array<string>,regex:string,priority:int,weight:double>>"
 
 
 def detections(form: Column, table: list[Rule] | None = None) -> Column:
-    """Intervals that the rules find, before suppression."""
+    """Intervals that the rules find, before suppression, in order of their first words."""
     table = rules() if table is None else table
-    literal = F.array(*[
-        F.struct(
-            F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.array(*[F.lit(k) for k in r.keywords.split("|")]).alias("keywords"),
-            F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"),
-        )
-        for i, r in enumerate(table)
-    ])
+    rows = [{"rule": i, **r._asdict(), "keywords": r.keywords.split("|")} for i, r in enumerate(table)]
+    literal = F.from_json(F.lit(json.dumps(rows)), _RULES)  # one constant of the plan
     gated = F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(form, k)))
-    return F.flatten(F.transform(
+    return F.array_sort(F.flatten(F.transform(
         gated,
         lambda r: F.transform(
             intervals(form, r["regex"]),
@@ -195,11 +299,15 @@ def detections(form: Column, table: list[Rule] | None = None) -> Column:
                 r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"),
             ),
         ),
-    ))
+    )))
 
 
 def suppressed(found: Column) -> Column:
-    """The detections that no other one overrides."""
+    """The detections, ordered by their first words, that no other one overrides.
+
+    One that overrides another begins at most the longest detection before it,
+    so each block of detections is held against its own stretch of words only.
+    """
 
     def overrides(o: Column, d: Column) -> Column:
         contains = (o["start"] <= d["start"]) & (o["stop"] >= d["stop"])
@@ -209,7 +317,16 @@ def suppressed(found: Column) -> Column:
         )
         return contains & first
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda o: overrides(o, d)))
+    def within(reach: Column) -> Column:
+        def block(some: Column) -> Column:
+            begin, end = F.element_at(some, 1)["start"], F.element_at(some, -1)["start"]
+            near = F.filter(found, lambda o: (o["start"] >= begin - reach) & (o["start"] <= end))
+            return _let(near, lambda others: F.filter(some, lambda d: ~F.exists(others, lambda o: overrides(o, d))))
+
+        return F.coalesce(F.flatten(_in_blocks(found, block)), found)
+
+    longest = F.aggregate(found, F.lit(0), lambda n, x: F.greatest(n, x["stop"] - x["start"]))
+    return _let(longest, within)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +336,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words = F.when(size == 0, 0).otherwise(_spaces(F.col("form")) - 1).cast("long")
     none = "array<struct<start:int,stop:int,rule:int,label:string,priority:int,weight:double>>"
     spot = "array<struct<start:int,label:string>>"
-    counted = form.select(id_col, words.alias("n_words"), F.when(_anchored(F.col("form")), F.col("form")).alias("form"))
+    table = rules()
+    counted = form.select(id_col, words.alias("n_words"), F.when(_anchored(F.col("form"), table), F.col("form")).alias("form"))
     base = F.concat(*[
         F.transform(intervals(F.col("form"), F.lit(phrase)), lambda x: F.struct(x["start"].alias("start"), F.lit(label).alias("label")))
         for phrase, label in BASE.items()
@@ -228,7 +346,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = counted.select(
         id_col, "n_words",
         F.when(hit, base.cast(spot)).otherwise(F.array().cast(spot)).alias("base"),
-        F.when(hit, detections(F.col("form")).cast(none)).otherwise(F.array().cast(none)).alias("raw"),
+        F.when(hit, detections(F.col("form"), table).cast(none)).otherwise(F.array().cast(none)).alias("raw"),
     )
     kept = found.select(id_col, "n_words", "base", suppressed(F.col("raw")).alias("detections"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))

@@ -338,3 +338,41 @@ def test_search_of_a_key_with_many_vectors(spark):
     rows = [(0, [1.0, i / 1000]) for i in range(30)] + [(i, [0.5, i / 1000]) for i in range(1, 20)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), ann.F.col("vec_id") == 0, k=5, target=1.0).collect()
     assert len(got) == 5 and 0 not in {r.vec_id for r in got}
+
+
+def plain_detections(text):
+    """Rules by Python's own expressions on lists of words, and suppression pair by pair."""
+    words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    form, found = " " + " ".join(words) + " ", []
+    for i, r in enumerate(licenses.rules()):
+        if any(k in form for k in r.keywords.split("|")):
+            for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", form):
+                start = form[: m.start()].count(" ") - 1
+                found.append((start, start + m.group().count(" ") + 1, i, r.label, r.priority))
+
+    def beats(o, d):
+        size = (o[1] - o[0]) - (d[1] - d[0])
+        return o[0] <= d[0] and o[1] >= d[1] and (o[4] > d[4] or o[4] == d[4] and (size > 0 or size == 0 and o[2] < d[2]))
+
+    return sorted((d[0], d[1], d[3]) for d in found if not any(beats(o, d) for o in found))
+
+
+def test_licence_detections_equal_a_plain_scan(spark):
+    texts = [
+        "CC BY-SA 4.0", "Apache License, Version 2.0", "see https://www.apache.org/licenses/LICENSE-2.0.txt or www.gnu.org/licenses/gpl-3.0.html",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. Provided AS IS, without warranty of any kind.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the University nor the names of its contributors may be used to endorse or promote products.",
+        "This program is free software: redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License. Copyright (c) 2020 X. All rights reserved.",
+        "Released under the MIT License. " * 40 + "Licensed under CC BY-NC-ND 4.0, GPLv3, GPL v2 and the BSD 3-Clause License. " * 40, "nothing here", None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(docs).collect():
+        assert sorted((d.start, d.stop, d.label) for d in r.detections) == plain_detections(texts[r.doc_id])
+    labels = [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()]
+    assert labels[0] == "cc-by,cc-by-sa-4.0" and labels[1] == "apache-2.0" and "gpl" in labels[2] and "mit" in labels[3] and "bsd-3-clause" in labels[4]
+
+
+def test_licences_of_a_very_long_text(spark):
+    text = "Licensed under the CC BY-NC-SA 4.0 license. Copyright 2020 foo, all rights reserved. " * 1_500
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_base == 3_000 and len(row.detections) == 4_500
