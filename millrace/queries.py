@@ -939,3 +939,208 @@ def ngram_transitions(spark, d):
     e = _events(spark, d).select("user_id", F.struct("h", "event_id", "event_type").alias("x"))
     seqs = e.groupBy("user_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
     return Q.ngram_transitions(seqs.select(F.transform("x", lambda v: v["event_type"]).alias("s")), "s")
+
+
+# --- functions of numbers and vectors ----------------------------------------
+
+
+@query("""SELECT l_orderkey, l_linenumber, ROUND(LN(2 * l_quantity + 1), 6) AS log_linear, ROUND(3 * SQRT(l_quantity), 6) AS power, GREATEST(x, 0) AS relu, ROUND(1 / (1 + EXP(-x)), 6) AS sigmoid, ROUND(-LN(1 + EXP(-x)), 6) AS log_sigmoid, ROUND(-LN(1 + EXP(2 * x + 1)), 6) AS logit, ROUND((EXP(x) - EXP(-x)) / (EXP(x) + EXP(-x)), 6) AS tanh FROM (SELECT *, (l_quantity - 25) / 10 AS x FROM lineitem)""")
+def scalar_functions(spark, d):
+    """Elementary functions of a number."""
+    x, q = (F.col("l_quantity") - 25) / 10, F.col("l_quantity")
+    found = {"log_linear": V.log_linear(q, 2, 1), "power": V.power(q, 3, 0.5), "sigmoid": V.sigmoid(x), "log_sigmoid": V.log_sigmoid(x), "logit": V.logit(x, 2, 1), "tanh": 2 * V.sigmoid(2 * x) - 1}
+    return _items(spark, d).select("l_orderkey", "l_linenumber", V.relu(x).alias("relu"), *[_r(c).alias(n) for n, c in found.items()])
+
+
+@query("""SELECT l_orderkey, l_linenumber, ROUND(a + b + c + e, 6) AS total, ROUND(1 / (1 + EXP(-(a / 50 + b + c + e / 7))), 6) AS sum_sigmoid, ROUND(SQRT(a * a + b * b + c * c + e * e), 6) AS norm, ROUND(1 * (0.5 * a + 1) + 2 * (2 * b - 1) + 3 * (c + 0.25) + 4 * (0.1 * e) + 7, 6) AS normalized_linear, ROUND(b + c, 6) AS part, ROUND(3 * (a * 2 - b), 6) AS scaled, ROUND(2 * a - 0.5 * b, 6) AS ensemble, CASE WHEN a >= GREATEST(b, c, e) THEN 0 WHEN b >= GREATEST(c, e) THEN 1 WHEN c >= e THEN 2 ELSE 3 END AS argmax, ROUND(SQRT(POWER(a - 10, 2) + POWER(b - 0.05, 2) + POWER(c, 2) + POWER(e - 3, 2)), 6) AS distance, ROUND(a * a + b * b + c * c + e * e, 6) AS squares FROM (SELECT *, l_quantity AS a, l_discount AS b, l_tax AS c, l_linenumber::DOUBLE AS e FROM lineitem)""")
+def vector_functions(spark, d):
+    """Functions of a vector of four features."""
+    v = F.array(*_line_features())
+    a, b = F.element_at(v, 1), F.element_at(v, 2)
+    scaled = F.zip_with(v, V.weights([1 / 50, 1, 1, 1 / 7]), lambda x, w: x * w)
+    found = {
+        "total": V.total(v), "sum_sigmoid": V.sum_sigmoid(scaled), "norm": V.norm(v),
+        "normalized_linear": V.normalized_linear(v, [1, 2, 3, 4], [0.5, 2, 1, 0.1], [1, -1, 0.25, 0], 7), "part": V.total(V.part(v, 1, 2)),
+        "scaled": V.total(V.join_vectors(V.scaled(a, [2.0, 4.0]), V.scaled(b, [-1.0, -2.0]))), "ensemble": V.ensemble([(2.0, a), (-0.5, b)]),
+        "distance": V.distance(v, V.weights([10, 0.05, 0, 3])), "squares": V.total(V.parallel(V.join_scalars(*_line_features()), lambda x: x * x)),
+    }
+    return _items(spark, d).select("l_orderkey", "l_linenumber", V.argmax(v).alias("argmax"), *[_r(c).alias(n) for n, c in found.items()])
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, EXP(2 * l_discount * 10) AS p, EXP(-1 * l_tax * 10) AS q, EXP(0.5 * l_linenumber) AS r, EXP(l_discount * 10) AS a, EXP(l_tax * 10) AS b, EXP(l_linenumber) AS c, l_linenumber % 3 AS y FROM lineitem) SELECT l_orderkey, l_linenumber, ROUND(p / (1 + p + q + r), 6) AS p0, ROUND(q / (1 + p + q + r), 6) AS p1, ROUND(r / (1 + p + q + r), 6) AS p2, ROUND(LN((CASE y WHEN 0 THEN a WHEN 1 THEN b ELSE c END) / (a + b + c)), 6) AS log_softmax FROM x""")
+def softmax_functions(spark, d):
+    """Softmax of weighted logits with a reference class, and the log-probability of a class."""
+    v = F.array(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_linenumber").cast("double"))
+    p = V.weighted_multi_logit(v, [2.0, -1.0, 0.5])
+    parts = [_r(F.element_at(p, i + 1)).alias(f"p{i}") for i in range(3)]
+    return _items(spark, d).select("l_orderkey", "l_linenumber", *parts, _r(V.log_softmax(v, F.col("l_linenumber") % 3)).alias("log_softmax"))
+
+
+@query("""WITH h AS (SELECT p_partkey, LIST_REDUCE(LIST_PREPEND(0::HUGEINT, LIST_TRANSFORM(RANGE(1, LEN(p_name) + 1), lambda i: ASCII(p_name[i])::HUGEINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM part) SELECT p_partkey, ROUND((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::DOUBLE / 4294967296, 9) AS category FROM h""")
+def categorical_hash(spark, d):
+    """A text feature as a number."""
+    return table(spark, d, "part").select("p_partkey", _r(V.categorical(F.col("p_name")), 9).alias("category"))
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, {_Y} AS y, {_SCORE} AS x, l_discount + 0.1 AS p FROM lineitem) SELECT l_orderkey, l_linenumber, ROUND(y - x, 6) AS l2, ROUND(y - 1 / (1 + EXP(-x)), 6) AS llogit, ROUND((2 * y - 1) / (1 + EXP(-x)) * (1 - 1 / (1 + EXP(-x))), 6) AS celogit, ROUND(CASE WHEN y = 1 THEN 1 / p ELSE -1 / (1 - p) END, 6) AS ll FROM r""")
+def loss_gradients(spark, d):
+    """Antigradients of the losses that boosting follows, by row."""
+    y, x = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0), (F.col("l_quantity") - 25) / 10
+    rows = _items(spark, d).select("l_orderkey", "l_linenumber", y.alias("y"), x.alias("x"), (F.col("l_discount") + 0.1).alias("p"))
+    y, x = F.col("y"), F.col("x")
+    steps = {"l2": L.TARGETS["L2"].step(y, x), "llogit": L.TARGETS["LLLogit"].step(y, x), "celogit": L.TARGETS["CELogit"].step(y, x), "ll": L.TARGETS["LL"].step(y, F.col("p"))}
+    return rows.select("l_orderkey", "l_linenumber", *[_r(c).alias(n) for n, c in steps.items()])
+
+
+@query("""SELECT l_returnflag, ROUND(SQRT(SUM(l_tax * POWER(l_discount - 0.04, 2)) / SUM(l_tax)), 8) AS weighted FROM lineitem GROUP BY 1""")
+def weighted_loss(spark, d):
+    """A loss with row weights, in groups."""
+    loss = L.weighted(L.weighted_rmse, F.col("l_tax"))
+    return _items(spark, d).groupBy("l_returnflag").agg(_r(loss(F.col("l_discount"), F.lit(0.04)), 8).alias("weighted"))
+
+
+# --- pools on disk ------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    from uuid import uuid4
+
+    from millrace.lineage import folder
+
+    return f"{folder(spark).rstrip('/')}/millrace-{name}-{uuid4().hex}"
+
+
+_POOL_SQL = "SELECT l_orderkey, l_extendedprice AS target, l_quantity AS f0, l_discount AS f1, l_tax AS f2, l_linenumber::DOUBLE AS f3 FROM lineitem"
+
+
+def _pool(spark, d):
+    return _items(spark, d).select(
+        F.col("l_orderkey").alias("row_id"), F.col("l_extendedprice").alias("target"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("url"),
+        F.col("l_suppkey").alias("group_id"), F.array(*_line_features()).alias("features"),
+    )
+
+
+@query("""SELECT l_orderkey::VARCHAR AS query_id, l_extendedprice AS target, l_orderkey || '-' || l_linenumber AS url, l_suppkey::VARCHAR AS group_id, l_orderkey || '-' || l_linenumber || '@' || l_orderkey AS item_id, l_quantity AS f0, l_discount AS f1, l_tax AS f2, l_linenumber::DOUBLE AS f3 FROM lineitem""")
+def features_txt_round_trip(spark, d):
+    """A pool written as features.txt and read again."""
+    from millrace.sources import readers, writers
+
+    path = _place(spark, "features")
+    writers.features_txt(_pool(spark, d), path, url="url", group="group_id")
+    back = readers.features_txt(spark, path)
+    return back.select("query_id", "target", "url", "group_id", "item_id", *[F.element_at("features", i + 1).alias(f"f{i}") for i in range(4)])
+
+
+@query("""SELECT l_extendedprice AS target, l_quantity AS f0, l_discount AS f1, l_tax AS f2, l_linenumber::DOUBLE AS f3 FROM lineitem""")
+def libsvm_round_trip(spark, d):
+    """A pool written as libsvm, zeros left out, and read again."""
+    from millrace.sources import readers, writers
+
+    path = _place(spark, "libsvm")
+    writers.libsvm(_pool(spark, d), path)
+    v = readers.dense(F.col("features"), 4)
+    return readers.libsvm(spark, path).select("target", *[F.element_at(v, i + 1).alias(f"f{i}") for i in range(4)])
+
+
+@query("""SELECT l_linenumber::DOUBLE AS target, l_orderkey::VARCHAR AS group_id, 'D' || l_partkey AS item_id, l_quantity AS f0, l_discount AS f1 FROM lineitem""")
+def letor_lines(spark, d):
+    """LETOR lines, read."""
+    from millrace.sources import readers
+
+    path, c = _place(spark, "letor"), lambda n: F.col(n).cast("string")
+    line = F.concat(c("l_linenumber"), F.lit(" qid:"), c("l_orderkey"), F.lit(" 1:"), c("l_quantity"), F.lit(" 2:"), c("l_discount"), F.lit(" #docid = D"), c("l_partkey"))
+    _items(spark, d).select(line.alias("value")).write.text(path)
+    return readers.letor(spark, path).select("target", "group_id", "item_id", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
+
+
+@query("""SELECT p_retailprice AS target, p_partkey::VARCHAR AS item_id, p_size::DOUBLE AS f0 FROM part""")
+def catboost_pool(spark, d):
+    """Delimited columns by a column description, read."""
+    from millrace.sources import readers
+
+    path, columns = _place(spark, "catboost"), _place(spark, "columns")
+    table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size", "p_brand").write.csv(path, sep="\t")
+    spark.createDataFrame([("0\tDocId",), ("1\tTarget",), ("2\tNum",), ("3\tAuxiliary",)], "value string").coalesce(1).write.text(columns)
+    return readers.catboost(spark, path, columns).select("target", "item_id", F.col("features")[0].alias("f0"))
+
+
+@query("""SELECT l_shipmode AS v, n FROM (SELECT l_returnflag AS l_shipmode, COUNT(*) AS n FROM lineitem GROUP BY 1)""")
+def value_frequencies(spark, d):
+    """Values and their counts, written as a table with a header and read again."""
+    from millrace.sources import writers
+
+    path = _place(spark, "frequencies")
+    writers.frequencies(_items(spark, d), path, "l_returnflag")
+    return spark.read.csv(path, header=True, schema="v string, n long")
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber AS item, ROUND(2 * l_quantity + 100 * l_discount, 4) AS value FROM lineitem""")
+def applied_predictions(spark, d):
+    """A model's values for every item, written as lines and read again."""
+    from millrace.sources import writers
+
+    path = _place(spark, "predictions")
+    writers.predictions(_pool(spark, d), path, "url", V.linear(F.col("features"), [2.0, 100.0, 0.0, 0.0]))
+    return spark.read.csv(path, sep="\t", schema="item string, value double").withColumn("value", _r(F.col("value"), 4))
+
+
+@query(f"""SELECT l_orderkey, target, f0, f1, f2, f3, f0 * f1 AS f4 FROM ({_POOL_SQL})""")
+def extended_pool(spark, d):
+    """A pool with one more feature, its columns taken apart again."""
+    pool = P.extend(_pool(spark, d), "features", F.element_at("features", 1) * F.element_at("features", 2))
+    return pool.select(F.col("row_id").alias("l_orderkey"), "target", *[F.element_at("features", i + 1).alias(f"f{i}") for i in range(5)])
+
+
+# --- grids and statistics -------------------------------------------------------
+
+_BORDER_SQL = """SELECT {k} AS feature, CASE WHEN r1 > 0 AND (LN(n - r1) + LN(r1) >= CASE WHEN r2 > 0 AND r2 < n - 1 THEN LN(n - r2) + LN(r2) ELSE 0 END) AND LN(n - r1) + LN(r1) > 0 THEN below WHEN r2 > 0 AND r2 < n - 1 AND LN(n - r2) + LN(r2) > 0 THEN m END AS border FROM (SELECT COUNT(*) AS n, ANY_VALUE(m) AS m, COUNT(*) FILTER (x < m) - 1 AS r1, COUNT(*) FILTER (x <= m) - 1 AS r2, MAX(x) FILTER (x < m) AS below FROM (SELECT {c}::DOUBLE AS x FROM lineitem), (SELECT x AS m FROM (SELECT {c}::DOUBLE AS x, ROW_NUMBER() OVER (ORDER BY {c}) - 1 AS i, COUNT(*) OVER () AS n FROM lineitem) WHERE i = n // 2))"""
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(_BORDER_SQL.format(k=k, c=c) for k, c in enumerate(("l_quantity", "l_discount", "l_tax", "l_extendedprice"))) + ") WHERE border IS NOT NULL")
+def greedy_border(spark, d):
+    """The first border of each feature that the greedy search finds."""
+    from millrace.operators import grid
+
+    rows = _items(spark, d).select(F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")]).alias("features"))
+    found = grid.fit(rows, "features", bins=2)
+    return spark.createDataFrame([(f, b) for f, _, b in found.conditions()], "feature int, border double")
+
+
+@query("""SELECT hits, trials, COUNT(*) AS n FROM (SELECT user_id, SUM((event_type = (SELECT MIN(event_type) FROM events))::INT)::BIGINT AS hits, COUNT(*) AS trials FROM events GROUP BY 1) GROUP BY ALL""")
+def hit_counts(spark, d):
+    """How many users have each number of hits and trials: what mixtures are fitted to."""
+    e = table(spark, d, "events")
+    return A.hit_counts(e, "user_id", F.col("event_type") == e.agg(F.min("event_type")).first()[0])
+
+
+@query("""SELECT a AS alpha, b AS bins, c AS loss FROM (VALUES (0.1), (0.5), (1.0)) x(a), (VALUES (16), (32)) y(b), (VALUES ('L2'), ('SatL2')) z(c)""")
+def parameter_grid(spark, d):
+    """Every choice of a grid of parameters."""
+    rows = S.grid({"alpha": [0.1, 0.5, 1.0], "bins": [16, 32], "loss": ["L2", "SatL2"]})
+    return spark.createDataFrame([(r["alpha"], r["bins"], r["loss"]) for r in rows], "alpha double, bins int, loss string")
+
+
+@query("""WITH s AS (SELECT l_returnflag AS task, SUM(l_quantity * l_quantity) + 10 AS a, SUM(l_quantity * l_linenumber) AS b, SUM(l_linenumber * l_linenumber) + 10 AS c, SUM(l_quantity * l_extendedprice) AS u, SUM(l_linenumber * l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT task, ROUND((c * u - b * v) / (a * c - b * b), 4) AS w0, ROUND((a * v - b * u) / (a * c - b * b), 4) AS w1 FROM s""")
+def ridge_by_task(spark, d):
+    """A ridge regression of the price for each return flag, from one aggregation."""
+    import numpy as np
+
+    from millrace.plans import linear
+
+    rows = _items(spark, d).select("l_returnflag", "l_extendedprice", F.array("l_quantity", F.col("l_linenumber").cast("double")).alias("features"))
+    sums = linear.gram(rows, "features", F.col("l_extendedprice"), 2, by="l_returnflag")
+    found = [(task, *np.linalg.solve(g.xx + 10 * np.eye(2), g.xy).tolist()) for task, g in sums.items()]
+    return spark.createDataFrame([(t, round(a, 4), round(b, 4)) for t, a, b in found], "task string, w0 double, w1 double")
+
+
+@query("""WITH n AS (SELECT *, UPPER(p_name) AS up, REPLACE(p_name, ' ', '') AS tight, '7' || p_name AS more FROM part) SELECT p_partkey, 0.0::DOUBLE AS of_case, ROUND(0.2 * (LEN(p_name) - LEN(tight)), 6) AS of_spaces, 0.9::DOUBLE AS of_insert, 10.0::DOUBLE AS of_delete FROM n""")
+def name_edit_costs(spark, d):
+    """What it costs to turn a part's name into upper case, to leave out its spaces, to add and to remove a digit."""
+    from millrace.operators.similarity import with_edit_cost
+
+    name = F.col("p_name")
+    out = table(spark, d, "part").select("p_partkey", "p_name", F.upper(name).alias("up"), F.replace(name, F.lit(" "), F.lit("")).alias("tight"), F.concat(F.lit("7"), name).alias("more"))
+    for source, target, cost in (("p_name", "up", "of_case"), ("p_name", "tight", "of_spaces"), ("p_name", "more", "of_insert"), ("more", "p_name", "of_delete")):
+        out = with_edit_cost(out, source, target, cost)
+    return out.select("p_partkey", "of_case", _r(F.col("of_spaces")).alias("of_spaces"), "of_insert", "of_delete")
