@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import blockwise as B
 from millrace.functions import losses as L
 from millrace.functions import metrics as M
 from millrace.functions import vectors as V
@@ -1144,3 +1145,59 @@ def name_edit_costs(spark, d):
     for source, target, cost in (("p_name", "up", "of_case"), ("p_name", "tight", "of_spaces"), ("p_name", "more", "of_insert"), ("more", "p_name", "of_delete")):
         out = with_edit_cost(out, source, target, cost)
     return out.select("p_partkey", "of_case", _r(F.col("of_spaces")).alias("of_spaces"), "of_insert", "of_delete")
+
+
+# --- losses of blocks of outputs -----------------------------------------------
+
+_BLOCK = "SELECT *, l_discount * 10 AS a, l_tax * 20 - 1 AS b, l_linenumber % 3 AS y FROM lineitem"
+_BLOCK_Z = f"SELECT *, 1 + EXP(a) + EXP(b) AS z FROM ({_BLOCK})"
+
+
+def _blocks(spark, d):
+    x = F.array(F.col("l_discount") * 10, F.col("l_tax") * 20 - 1)
+    return _items(spark, d).withColumns({"x": x, "y": F.col("l_linenumber") % 3, "labels": F.array((F.col("l_returnflag") == "R").cast("double"), (F.col("l_linestatus") == "O").cast("double"))})
+
+
+@query(f"""SELECT l_returnflag, ROUND(EXP(AVG(CASE y WHEN 0 THEN a WHEN 1 THEN b ELSE 0 END - LN(z))), 6) AS value, ROUND(AVG((y = CASE WHEN a > 0 AND a >= b THEN 0 WHEN b > 0 THEN 1 ELSE 2 END)::INT), 6) AS accuracy FROM ({_BLOCK_Z}) GROUP BY 1""")
+def class_logit(spark, d):
+    """Likelihood and accuracy of logits of all classes but the reference, in groups."""
+    y, x = F.col("y"), F.col("x")
+    return _blocks(spark, d).groupBy("l_returnflag").agg(_r(B.class_value(y, x)).alias("value"), _r(B.class_accuracy(y, x)).alias("accuracy"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, ROUND(EXP(a) / z - (y = 0)::INT, 6) AS g0, ROUND(EXP(b) / z - (y = 1)::INT, 6) AS g1 FROM ({_BLOCK_Z})""")
+def class_logit_steps(spark, d):
+    """Gradient by each logit of several classes, by row."""
+    g = B.class_step(F.col("y"), F.col("x"))
+    return _blocks(spark, d).select("l_orderkey", "l_linenumber", *[_r(g[i]).alias(f"g{i}") for i in range(2)])
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, ROUND((l_returnflag = 'R')::INT * a + (l_linestatus = 'O')::INT * b - LN(1 + (1 + EXP(a)) * (1 + EXP(b))), 6) AS value, ROUND((EXP(a) + EXP(a + b)) / (1 + EXP(a) + EXP(b) + EXP(a + b)) - (l_returnflag = 'R')::INT, 6) AS g0, ROUND((EXP(b) + EXP(a + b)) / (1 + EXP(a) + EXP(b) + EXP(a + b)) - (l_linestatus = 'O')::INT, 6) AS g1 FROM ({_BLOCK})""")
+def label_set_logit(spark, d):
+    """Log-likelihood of a row's set of labels among all sets, and its gradient."""
+    y, x = F.col("labels"), F.col("x")
+    g = B.label_set_step(y, x)
+    return _blocks(spark, d).select("l_orderkey", "l_linenumber", _r(B.label_set_likelihood(y, x)).alias("value"), *[_r(g[i]).alias(f"g{i}") for i in range(2)])
+
+
+@query(f"""SELECT ROUND((EXP(AVG(-LN(1 + EXP(CASE WHEN l_returnflag = 'R' THEN -a ELSE a END)))) + EXP(AVG(-LN(1 + EXP(CASE WHEN l_linestatus = 'O' THEN -b ELSE b END))))) / 2, 6) AS value FROM ({_BLOCK})""")
+def one_vs_rest_logit(spark, d):
+    """Mean likelihood of two labels, each by its own logit."""
+    return _blocks(spark, d).agg(_r(B.one_vs_rest_value(F.col("labels"), F.col("x"), 2)).alias("value"))
+
+
+@query(f"""SELECT l_returnflag, ROUND(SQRT(SUM(POWER(a - r, 2) + POWER(b - o, 2)) / (2 * COUNT(*))), 6) AS value, ROUND(SUM(y * (POWER(a - r, 2) + POWER(b - o, 2))), 3) AS weighted, ROUND(SUM(y * 2 * (a - r)), 3) AS g0, ROUND(SUM(y * 2 * (b - o)), 3) AS g1 FROM (SELECT *, (l_returnflag = 'R')::INT AS r, (l_linestatus = 'O')::INT AS o FROM ({_BLOCK})) GROUP BY 1""")
+def block_squares(spark, d):
+    """Root mean square of blocks, and squares and steps under whole-number weights."""
+    y, x, w = F.col("labels"), F.col("x"), F.col("y")
+    g = B.weighted_step(B.square_step, w)(y, x)
+    return _blocks(spark, d).groupBy("l_returnflag").agg(
+        _r(B.square_value(y, x)).alias("value"), _r(F.sum(B.weighted_row(B.squares, w)(y, x)), 3).alias("weighted"), *[_r(F.sum(g[i]), 3).alias(f"g{i}") for i in range(2)]
+    )
+
+
+@query("""SELECT l_linestatus, ROUND(-SUM(CASE WHEN l_returnflag = 'R' THEN -POWER(l_tax + 1, 2) ELSE LN(1 - EXP(-POWER(l_tax + 1, 2))) END), 4) AS value FROM lineitem GROUP BY 1""")
+def bell_likelihood(spark, d):
+    """Negative log-likelihood with probabilities e^-(x + 1)^2, in groups."""
+    y = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)
+    return _items(spark, d).groupBy("l_linestatus").agg(_r(L.likelihood_x2(y, F.col("l_tax")), 4).alias("value"))
