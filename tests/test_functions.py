@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import blockwise as B
 from millrace.functions import losses as L
 from millrace.functions import metrics as M
 from millrace.functions import vectors as V
@@ -123,3 +124,19 @@ def test_zero_scores_are_wrong(spark):
     assert M.binary(df, F.col("s"), F.col("y") == 1).first().accuracy == 0.5
     none = M.binary(df.where("s = 0"), F.col("s"), F.col("y") == 1).first()
     assert none.precision is None and none.recall == 0.0
+
+
+def test_blocks_of_outputs(spark):
+    """Large logits, ties, the reference class, rows of weight 0."""
+    rows = spark.createDataFrame([(0, [1000.0, -1000.0]), (2, [-1000.0, -2000.0]), (1, [3.0, 3.0]), (2, [0.0, 0.0])], "y int, x array<double>").coalesce(1)
+    y, x, labels = F.col("y"), F.col("x"), F.array(F.lit(1.0), F.lit(0.0))
+    out = rows.select(
+        B.class_likelihood(y, x).alias("value"), B.class_step(y, x).alias("step"), B.predicted_class(x).alias("predicted"),
+        B.label_set_likelihood(labels, x).alias("labels"), B.weighted_row(B.squares, F.lit(0))(labels, x).alias("none"),
+        B.weighted_step(B.square_step, F.lit(0))(labels, x).alias("still"),
+    ).collect()
+    assert [r["predicted"] for r in out] == [0, 2, 0, 2]
+    assert [r["value"] for r in out] == pytest.approx([0.0, 0.0, 3 - math.log(1 + 2 * math.exp(3)), -math.log(3)])
+    assert out[3]["step"] == pytest.approx([1 / 3, 1 / 3]) and out[0]["step"] == pytest.approx([0.0, 0.0])
+    assert out[3]["labels"] == pytest.approx(-math.log(5)) and out[0]["labels"] == pytest.approx(0.0)
+    assert all(r["none"] == 0.0 and r["still"] == [0.0, 0.0] for r in out)
