@@ -1144,7 +1144,7 @@ def name_edit_costs(spark, d):
     out = table(spark, d, "part").select("p_partkey", "p_name", F.upper(name).alias("up"), F.replace(name, F.lit(" "), F.lit("")).alias("tight"), F.concat(F.lit("7"), name).alias("more"))
     for source, target, cost in (("p_name", "up", "of_case"), ("p_name", "tight", "of_spaces"), ("p_name", "more", "of_insert"), ("more", "p_name", "of_delete")):
         out = with_edit_cost(out, source, target, cost)
-    return out.select("p_partkey", "of_case", _r(F.col("of_spaces")).alias("of_spaces"), "of_insert", "of_delete")
+    return out.select("p_partkey", *[_r(F.col(c)).alias(c) for c in ("of_case", "of_spaces", "of_insert", "of_delete")])
 
 
 # --- losses of blocks of outputs -----------------------------------------------
