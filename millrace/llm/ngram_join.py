@@ -15,14 +15,20 @@ links between different sets count; none is looked for by chance.
    A block's sets form a matrix of classes and shingles; its products give all
    overlaps in the block.  Links merge classes into components.
 4. What may still link lies in two components and shares a prefix shingle.
-   Groups are now the components, again in blocks.  The union of each group's
-   prefix shingles is stored.  A query class's overlap with a union bounds its
-   overlap with every member; only groups whose union shares enough with the
-   query, with a matching size and another component, are opened: their sets
-   and those of the queries that qualify meet, and overlaps are counted exactly.
+   Groups are now the components, again in blocks.  The place of a shingle in a
+   set's order bounds the size of sets that it can link with through that
+   shingle; places that reach no set of another component go.  The union of each
+   group's other prefix shingles is stored, with bounds on sizes.  Only groups
+   that a query class meets there, each within the other's reach, in another
+   component, are opened: their sets and those of the queries meet, a query's
+   overlap with the union of the whole sets bounds its overlap with every
+   member, and the overlaps that are left are counted exactly.
 
 A large group of near copies becomes one component in step 3, where each class
-meets about `block` others a round, and so costs step 4 nothing.
+meets about `block` others a round.  Copies with so many shingles of their own
+that they can't link have all of the group's shingles out of reach.  So neither
+costs step 4 anything; sets that stay just below the threshold among each other,
+without a common set that they link with, do meet there, by class and block.
 
 Shingles are compared by 64-bit hashes, classes by a 64-bit hash of their set.
 
@@ -119,12 +125,13 @@ def _members(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
-    """Prefix shingles of every class, as (shingle, class, known); a task gives a class once.
+    """Prefix shingles of every class, as (shingle, class, place); a task gives a class once.
 
-    `known` marks shingles that are shared for sure: heavy ones, and those that
-    two classes of a run of texts have.  Of such a pair or more, one row goes
-    unmarked too, so that other runs meet it: the unmarked rows of a shingle are
-    one a run at most.
+    `place` is the shingle's in the class's order, from 1.  It is negative unless
+    the shingle is known to be shared: heavy ones are, and those that two classes
+    of a run of texts have.  Of such a pair or more, one row goes with a negative
+    place too, so that other runs meet it: those rows of a shingle are one a run
+    at most.
     """
     order = np.argsort(heavy)
     shared = docs.sparkSession.sparkContext.broadcast((heavy[order], order))  # at most HEAVY
@@ -154,31 +161,33 @@ def _prefixes(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
                 if not out:
                     continue
                 flat, of = np.concatenate(out), np.repeat(np.array(classes, np.int64), sizes)
+                place = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes])
                 order = np.argsort(flat, kind="stable")
-                flat, of = flat[order], of[order]
+                flat, of, place = flat[order], of[order], place[order]
                 same = np.zeros(len(flat) + 1, bool)  # as the one before
                 same[1:-1] = flat[1:] == flat[:-1]
                 known = np.isin(flat, heavies) | same[:-1] | same[1:]
                 some = np.flatnonzero(same[1:] & ~same[:-1] & ~np.isin(flat, heavies))
+                place = np.where(known, place, -place)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate([flat, flat[some]]))), pa.array(np.concatenate([of, of[some]])), pa.array(np.concatenate([known, np.zeros(len(some), bool)]))],
-                    ["shingle", "class", "known"],
+                    [pa.array(_signed(np.concatenate([flat, flat[some]]))), pa.array(np.concatenate([of, of[some]])), pa.array(np.concatenate([place, -place[some]]))],
+                    ["shingle", "class", "place"],
                 )
 
-    return docs.mapInArrow(run, "shingle long, class long, known boolean")
+    return docs.mapInArrow(run, "shingle long, class long, place int")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """The distinct (shingle, class) of which a shingle has two classes.
+    """The distinct (shingle, class, place) of which a shingle has two classes.
 
     What a task can tell needs no window, so a frequent shingle has few rows in its own.
     """
     of = Window.partitionBy("shingle")
-    rare = prefixes.where("not known").select(
-        "shingle", "class", F.min("class").over(of).alias("lo"), F.max("class").over(of).alias("hi")
+    rare = prefixes.where("place < 0").select(
+        "shingle", "class", (-F.col("place")).alias("place"), F.min("class").over(of).alias("lo"), F.max("class").over(of).alias("hi")
     )
-    rare = rare.where("lo <> hi").select("shingle", "class")
-    return rare.union(prefixes.where("known").select("shingle", "class")).distinct()
+    rare = rare.where("lo <> hi").select("shingle", "class", "place")
+    return rare.union(prefixes.where("place > 0")).distinct()
 
 
 def _wanted(active: DataFrame) -> np.ndarray:
@@ -337,6 +346,47 @@ def _in_blocks(classes: DataFrame, by: list[str], seed: int, block: int) -> Data
     return classes.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("class", F.lit(seed)), parts)).drop("_n")
 
 
+def _reach(spots: DataFrame, rule: Rule) -> DataFrame:
+    """Spots (shingle, class, place, n) with `most`: the largest size of a set that links through the spot.
+
+    Sets of n and m that link share o >= (n + m) * percent / (100 + percent)
+    shingles; the first of these stands at place n - o + 1 or before in the one,
+    m - o + 1 or before in the other.  So a later place is for smaller sets only.
+    """
+    most = F.floor((F.col("n") - F.col("place") + 1) * (100 + rule.percent) / rule.percent) - F.col("n")
+    return spots.withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * rule.percent)
+
+
+def _open(spots: DataFrame) -> DataFrame:
+    """The spots whose shingle a set of another component has, too, as far as sizes allow a link."""
+    facts = spots.groupBy("shingle").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("smallest"), F.max("most").alias("largest")
+    )
+    facts = facts.where("lo <> hi").select("shingle", "smallest", "largest")
+    found = spots.join(facts, "shingle").where("smallest <= most and n <= largest")
+    return found.select("shingle", "class", "n", "most", "component", "id")
+
+
+def _unions(spots: DataFrame) -> DataFrame:
+    """Each group's union of shingles, with bounds on its sets that have the shingle."""
+    return spots.groupBy("shingle", "id").agg(
+        F.min("component").alias("c_lo"), F.max("component").alias("c_hi"),
+        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("most").alias("most"),
+    )
+
+
+def _candidates(asks: DataFrame, unions: DataFrame, rule: Rule) -> DataFrame:
+    """(one, class): a group, and a class that may link with one of its sets in another component."""
+    x, y = asks.alias("x"), unions.alias("y")
+    apart = (
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") <= F.col("y.id"))
+        & ((F.col("x.component") != F.col("y.c_lo")) | (F.col("x.component") != F.col("y.c_hi")))
+        & (F.col("x.n") * 100 >= F.col("y.n_lo") * rule.percent) & (F.col("y.n_hi") * 100 >= F.col("x.n") * rule.percent)
+        & (F.col("y.n_lo") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most"))
+    )
+    return x.join(y, apart).select(F.col("y.id").alias("one"), F.col("x.class").alias("class")).distinct()
+
+
 def linked(
     docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
     block: int = 48, rounds: int = 3, slack_share: float = 0.08,
@@ -380,22 +430,10 @@ def linked(
     size = scratch.table(of.groupBy("large", "group").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts")), "group-sizes")
     named = of.join(size, ["large", "group"]).withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), "parts"))
     named = scratch.table(named.withColumn("id", F.xxhash64("large", "group", "part")).select("class", "row", "n", "component", "id"), "blocks")
-    facts = named.groupBy("id").agg(
-        F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")
-    )
-    spots = shared.join(named, "class")
-    open_shingles = spots.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    asks = scratch.table(spots.join(open_shingles.select("shingle"), "shingle").select("shingle", "class", "n", "component", "id"), "open")
-    unions = scratch.table(asks.select("shingle", "id").distinct(), "unions")
-    x, y = asks.alias("x"), unions.join(facts, "id").alias("y")
-    apart = (
-        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") <= F.col("y.id"))
-        & ((F.col("x.component") != F.col("y.c_lo")) | (F.col("x.component") != F.col("y.c_hi")))
-        & (F.col("x.n") * 100 >= F.col("y.n_lo") * percent) & (F.col("y.n_hi") * 100 >= F.col("x.n") * percent)
-    )
-    least = 1 + F.floor(F.floor(F.first("x.n") * percent / 100) * F.lit(rule.slack_share))
-    found = x.join(y, apart).groupBy(F.col("y.id").alias("one"), F.col("x.class").alias("class"))
-    found = scratch.table(found.agg(F.count("*").alias("common"), least.alias("least")).where("common >= least").select("one", "class"), "pairs")
+    near = scratch.table(_open(_reach(shared.join(named, "class"), rule)), "near")
+    asks = scratch.table(_open(near), "open")  # again, without the spots that reached nothing
+    unions = scratch.table(_unions(asks), "unions")
+    found = scratch.table(_candidates(asks, unions, rule), "pairs")
     parts = scratch.table(found.groupBy("one").agg(F.ceil(F.count("*") / F.lit(ASKS)).cast("long").alias("parts")), "parts")
     query = found.join(parts, "one").join(named.select("class", "row"), "class").select(
         "one", F.pmod(F.xxhash64("class", F.lit(3)), "parts").alias("other"), "class", "row", F.lit(1).alias("asks"), F.lit(0).alias("member")
@@ -415,7 +453,7 @@ def linked(
     keyed = keyed.withColumn("component", F.coalesce("component", "class"))
     least = keyed.groupBy("component").agg(F.min("key").alias("least"))
     names = scratch.table(keyed.join(least, "component").select("class", "least"), "names")
-    scratch.drop(shared, wanted, active, sets, inner, merged, named, asks, unions, found, parts)
+    scratch.drop(shared, wanted, active, sets, inner, merged, named, near, asks, unions, found, parts)
     out = members.join(names, "class", "left")
     component = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("least"))
     out = out.select("key", "class", F.col("n").alias("n_shingles"), component.alias("component"))

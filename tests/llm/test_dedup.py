@@ -71,6 +71,49 @@ def test_join_of_one_large_group_of_near_copies(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_copies_too_far_to_link_meet_nothing_across_components(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(100):  # the first 20 link with each other; the others have 16 shingles of their own, and 12 are too many
+        w = list(base)
+        for at in [rng.randrange(10, 140)] if i < 20 else rng.sample(range(5, 145, 5), 4):
+            w[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(w)))
+    met, table = {}, ngram_join.scratch.table
+
+    def kept(df, name, *how):
+        met[name] = table(df, name, *how)
+        return met[name]
+
+    monkeypatch.setattr(ngram_join.scratch, "table", kept)
+    monkeypatch.setattr(ngram_join.scratch, "drop", lambda *tables: None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, block=8).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert [c for _, c in got.values()].count(0) == 20 and len(set(got.values())) == 81
+    assert met["open"].join(met["unions"], "shingle").count() == 0
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (1, 60)])
+def test_links_across_components_are_whole(spark, monkeypatch, k, percent):
+    rng = random.Random(8)
+    rows = corpus(5, 120)
+    for i in range(60):  # near the least size that can link, and near the threshold
+        w = [f"b{i % 6}x{j}" for j in range(100)]
+        if i % 2:
+            w = w[: rng.randint(percent - 4, percent + 4)]
+        else:
+            w[rng.randrange(100)] = f"n{i}"
+            w[rng.randrange(100)] = f"m{i}"
+        rows.append((1000 + i, " ".join(w)))
+    # without the blocks of step 3, every link is one across components
+    monkeypatch.setattr(ngram_join, "_block_links", lambda blocks, rule: spark.createDataFrame([], "a long, b long"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, words=k, percent=percent, block=6).collect()}
+    assert got == brute_components(rows, k, percent)
+
+
 @pytest.mark.parametrize("copies", ["one row", "ids"])
 def test_join_reads_a_class_once(spark, monkeypatch, copies):
     near = [f"copy {i} " + " ".join(f"w{j}" for j in range(80)) for i in range(4)]
